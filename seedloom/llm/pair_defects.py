@@ -36,8 +36,8 @@ GRAMS = 1 << 16
 CONTEXTS = 1 << 20
 FOREIGN = 12.0
 BROKEN = 0.01
-#: An ellipsis at the end speaks for a break: the bound is so many times higher.
-ELLIPSIS = 10.0
+#: An ellipsis at the end, or a last word that only begins a word of the prompt, speaks for a break: the bound is so many times higher.
+ELLIPSIS, BEGUN = 10.0, 5.0
 #: A text and up to so many copies of it say nothing about its own end.
 COPIES = 3
 _ORDERS = (2, 3, 4, 5, 7, 10)
@@ -286,6 +286,13 @@ def _known(prompt: str) -> tuple[set[str], set[str]]:
 # --- naming the defects ----------------------------------------------------------
 
 
+def _bound(text: str, prompt_words: set[str]) -> float:
+    bound = BROKEN * (ELLIPSIS if _ELLIPSIS.search(text) else 1.0)
+    last = (_LETTERS.findall(text) or [""])[-1].lower()
+    begun = len(last) > 1 and last not in prompt_words and any(w.startswith(last) for w in prompt_words)
+    return bound * BEGUN if begun else bound
+
+
 def is_empty(output: object) -> bool:
     if not isinstance(output, str):
         return True
@@ -363,7 +370,7 @@ def defects(df: DataFrame, documents: DataFrame, id_col: str, version: str | Non
                 at = [i for i, t in enumerate(batch[field]) if not found[i] and _says(t) and len(t.strip()) > 3 and not _CLOSED.search(t.strip())]
                 if at:
                     texts = batch[field].to_numpy()
-                    bound = np.array([BROKEN * (ELLIPSIS if _ELLIPSIS.search(texts[i]) else 1) for i in at])
+                    bound = np.array([_bound(texts[i], sets[i]) for i in at])
                     low = end_likelihood([plain_end(texts[i], *_known(prompts[i])) for i in at], *ends[field]) < bound
                     found[np.array(at)[low]] = "truncated"
             if languages is not None:
