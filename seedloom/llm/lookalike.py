@@ -77,8 +77,20 @@ def looks(text: Column) -> Column:
     pairs = F.from_json(F.lit(json.dumps([{"f": c, "t": t} for c, t in several.items()])), "array<struct<f:string,t:string>>")
     step = F.aggregate(pairs, out, lambda text, pair: F.replace(text, pair["f"], pair["t"]))
     # the longer step runs only where a character of it occurs
-    some = "[" + "".join(f"\\x{{{ord(c):X}}}" for c in several) + "]"
-    return F.when(F.rlike(out, F.lit(some)), step).otherwise(out)
+    mapped = F.when(F.rlike(out, F.lit(f"[{_ranges(several)}]")), step).otherwise(out)
+    # plain text has nothing to map but tabs and controls
+    return F.when(F.rlike(text, F.lit(r"[^\n\r\x20-\x7E]")), mapped).otherwise(text)
+
+
+def _ranges(chars: dict[str, str]) -> str:
+    """A pattern class of few ranges for many characters; gaps of characters that are not mapped do no harm."""
+    runs: list[list[int]] = []
+    for code in sorted(map(ord, chars)):
+        if runs and code - runs[-1][1] < 64:
+            runs[-1][1] = code
+        else:
+            runs.append([code, code])
+    return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in runs)
 
 
 def look_classes(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, int]:
