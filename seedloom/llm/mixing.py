@@ -10,7 +10,8 @@ directions that leave the number of documents and the number of tokens as they a
 (the null space of both constraints over a few undecided documents) until they
 are 0 or 1.  Blocks of a bounded size do this side by side, then what is left undecided, at
 most a few documents a block, flies again, until one block a source is left.
-In it the last few documents land where the tokens come closest to the aim.
+There the last few documents land, and a few trades of a chosen document for one that is not bring the
+tokens to the aim.
 """
 
 from __future__ import annotations
@@ -23,10 +24,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seedloom.llm.tokens import PATTERN, TOKENIZER, token_sizes
-from seedloom.session import cut
+from seedloom.session import cut, input_splits
 
 #: Documents of a block on average.
 BLOCK = 8192
+#: Documents of a block that stay undecided for the next round, besides those that the flight leaves.
+KEPT = 16
 _TINY = 1e-9
 
 
@@ -38,15 +41,10 @@ def _null_vector(a: np.ndarray) -> np.ndarray | None:
 
 
 def fly(p: np.ndarray, tokens: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Probabilities moved to 0 or 1 but for at most two, with the same totals of documents and tokens.
-
-    The largest documents are decided first, so that what is left over is small.
-    """
+    """Probabilities moved to 0 or 1 but for at most two, with the same totals of documents and tokens."""
     p = p.copy()
     scale = max(float(tokens.mean()), 1.0) if len(tokens) else 1.0
-    order = rng.permutation(len(p))
-    order = order[np.argsort(tokens[order], kind="stable")]  # the next one is the last
-    waiting = [int(i) for i in order if _TINY < p[i] < 1 - _TINY]
+    waiting = [int(i) for i in rng.permutation(len(p)) if _TINY < p[i] < 1 - _TINY]
     held: list[int] = []
     while True:
         while len(held) < 3 and waiting:
@@ -74,24 +72,44 @@ def fly(p: np.ndarray, tokens: np.ndarray, rng: np.random.Generator) -> np.ndarr
     return p
 
 
-def land(p: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    """The undecided few set to 0 or 1 so that the tokens come closest to what was expected, then the documents."""
+def land(p: np.ndarray, tokens: np.ndarray, aim: float, swaps: int = 200) -> np.ndarray:
+    """The undecided few set to 0 or 1, then trades of a chosen document for another until the tokens meet the aim."""
     p = p.copy()
     open_ = np.flatnonzero((p > _TINY) & (p < 1 - _TINY))
     if len(open_):
-        aim, number = float((p[open_] * tokens[open_]).sum()), float(p[open_].sum())
-        best = min(product((0.0, 1.0), repeat=len(open_)), key=lambda z: (abs(float(np.dot(z, tokens[open_])) - aim), abs(sum(z) - number), z))
+        fixed, number = aim - float(p[p >= 1 - _TINY] @ tokens[p >= 1 - _TINY]), float(p[open_].sum())
+        best = min(product((0.0, 1.0), repeat=len(open_)), key=lambda z: (abs(sum(z) - number) >= 1, abs(float(np.dot(z, tokens[open_])) - fixed), z))
         p[open_] = best
+    for _ in range(swaps):
+        over = float(p @ tokens) - aim
+        ins, outs = np.flatnonzero(p > 0.5), np.flatnonzero(p < 0.5)
+        if not len(ins) or not len(outs) or abs(over) < 1:
+            break
+        outs = outs[np.argsort(tokens[outs], kind="stable")]
+        want = tokens[ins] - over
+        at = np.clip(np.searchsorted(tokens[outs], want), 1, max(1, len(outs) - 1))
+        near = np.where(np.abs(tokens[outs][at - 1] - want) <= np.abs(tokens[outs][np.minimum(at, len(outs) - 1)] - want), at - 1, np.minimum(at, len(outs) - 1))
+        miss = np.abs(tokens[outs][near] - want)
+        k = int(miss.argmin())
+        if miss[k] >= abs(over):
+            break
+        p[ins[k]], p[outs[near[k]]] = 0.0, 1.0
     return p
 
 
 def _flight(seed: int, last: bool):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("id", kind="stable")
-        tokens = frame["tokens"].to_numpy(np.float64)
+        tokens, p = frame["tokens"].to_numpy(np.float64), frame["p"].to_numpy(np.float64)
         rng = np.random.default_rng([seed, len(frame), int(tokens.sum()) & 0x7FFFFFFF])
-        p = fly(frame["p"].to_numpy(np.float64), tokens, rng)
-        return frame.assign(p=land(p, tokens) if last else p)
+        if last:
+            return frame.assign(p=land(fly(p, tokens, rng), tokens, float(p @ tokens)))
+        # some ordinary documents stay undecided, so that the landing has a choice
+        go = np.ones(len(p), bool)
+        go[rng.choice(len(p), min(KEPT, len(p)), replace=False)] = False
+        out = p.copy()
+        out[go] = fly(p[go], tokens[go], rng)
+        return frame.assign(p=out)
 
     return run
 
@@ -133,7 +151,8 @@ def mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, targets: D
     while largest:
         last = largest <= block
         blocks = F.greatest(F.round(F.col("n") / block).cast("long"), F.lit(1)) if not last else F.lit(1).cast("long")
-        flown = open_.withColumn("block", F.pmod(F.xxhash64("id", F.lit(seed + r)), blocks)).groupBy("mix_name", "source", "block").applyInPandas(_flight(seed + r, last), schema)
+        spread = open_.withColumn("block", F.pmod(F.xxhash64("id", F.lit(seed + r)), blocks)).repartition(input_splits(docs.sparkSession), "mix_name", "source", "block")
+        flown = spread.groupBy("mix_name", "source", "block").applyInPandas(_flight(seed + r, last), schema)
         flown = cut(flown.drop("block"), "flight")
         decided.append(flown.where("p = 1").select("mix_name", "id"))
         if last:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seedloom.llm.tokens import PATTERN, TOKENIZER, token_sizes
-from seedloom.session import cut
+from seedloom.session import cut, input_splits
 
 #: Items of a block on average.
 BLOCK = 4096
@@ -142,7 +142,8 @@ def pack(docs: DataFrame, id_col: str, text_col: str, specs: DataFrame, tokenize
         for spec, n in counts.items():
             blocks = F.when(name == spec, F.lit(max(1, round(n / block)))).otherwise(blocks)
         spread = rest.select("spec_name", "capacity", "id", "piece", "tokens").withColumn("block", F.pmod(F.xxhash64("id", "piece", F.lit(r)), blocks))
-        packed = spread.groupBy("spec_name", "block").applyInPandas(pack_block, f"spec_name string, capacity long, id {kind}, piece int, tokens long, block long, bin long, filled long")
+        tasks = max(input_splits(docs.sparkSession), sum(max(1, round(n / block)) for n in counts.values()) // 4)
+        packed = spread.repartition(tasks, "spec_name", "block").groupBy("spec_name", "block").applyInPandas(pack_block, f"spec_name string, capacity long, id {kind}, piece int, tokens long, block long, bin long, filled long")
         packed = cut(packed, "packed")
         good = packed if last else packed.where(F.col("filled") >= F.col("capacity") * GOOD)
         done.append(good.select("spec_name", "id", "piece", "tokens", "capacity", F.concat_ws("-", name, F.lit(r), F.col("block"), F.col("bin")).alias("container"), "filled"))
