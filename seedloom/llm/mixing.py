@@ -29,7 +29,7 @@ from seedloom.session import cut, input_splits
 #: Documents of a block on average.
 BLOCK = 8192
 #: Documents of a block that stay undecided for the next round, besides those that the flight leaves.
-KEPT = 16
+KEPT = 128
 _TINY = 1e-9
 
 
