@@ -5,9 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from seedloom.operators import packed_values, shred
+from seedloom.functions.text import letter
+from seedloom.operators import augment, batches, keyed, mcq, metrics, packed_values, prompts, qa, ranking, retrieval, shred
+from seedloom.operators.providers import RuleProvider
+from seedloom.plans.sql import ORACLES
+from seedloom.schemas import MULTIPLE_CHOICE, QUESTION_ANSWER
 from seedloom.session import table
+from seedloom.sources import seeds, sinks
+
+Query = Callable[[SparkSession, str], DataFrame]
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -18,9 +26,200 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return shred.all_nodes(table(spark, d, "instruction_files"), "record_id", "raw_json")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p5_found)}
+def p5_positive(spark: SparkSession, d: str) -> DataFrame:
+    return shred.flat_tables(table(spark, d, "instruction_files"), "record_id", "raw_json")["positive"]
+
+
+def _mc(spark: SparkSession, d: str) -> DataFrame:
+    return mcq.parse(seeds.example_seeds(table(spark, d, "examples"), MULTIPLE_CHOICE))
+
+
+def _qa(spark: SparkSession, d: str) -> DataFrame:
+    return qa.parse(seeds.example_seeds(table(spark, d, "examples"), QUESTION_ANSWER))
+
+
+def _one_per_id(spark: SparkSession, d: str) -> DataFrame:
+    """Examples of both polarities, one per example_id (the earliest)."""
+    rows = table(spark, d, "examples").where("example_id is not null")
+    first = F.min(F.struct("loaded_at", "file", "task_kind", "polarity", "input", "output", "explanation")).alias("x")
+    return rows.groupBy("example_id").agg(first).select("example_id", "x.*")
+
+
+def mc_parse(spark: SparkSession, d: str) -> DataFrame:
+    rows = mcq.valid(_mc(spark, d))
+    return rows.select("seed_ord", "head", "tail", *[F.element_at("options", k + 1).alias(f"option_{'abcd'[k]}") for k in range(4)], "answer_idx", "labels_ok")
+
+
+def qa_parse(spark: SparkSession, d: str) -> DataFrame:
+    return mcq.valid(_qa(spark, d)).select("seed_ord", "head", "fact", "question")
+
+
+def parse_rejects(spark: SparkSession, d: str) -> DataFrame:
+    both = [mcq.rejects(x).select("task_kind", "reason") for x in (_mc(spark, d), _qa(spark, d))]
+    return both[0].unionByName(both[1]).groupBy("task_kind", "reason").agg(F.count("*").alias("n"))
+
+
+def mc_shuffle(spark: SparkSession, d: str) -> DataFrame:
+    return mcq.shuffled(mcq.valid(_mc(spark, d)), 0, F.col("seed_ord")).select("seed_ord", "input", "output")
+
+
+def mc_distractors(spark: SparkSession, d: str) -> DataFrame:
+    rows = mcq.valid(_mc(spark, d))
+    return rows.select("seed_ord", "output", F.posexplode(mcq.wrong_letters(F.col("output"), 0, F.lit("M1"), F.col("seed_ord"))).alias("neg_slot", "wrong"))
+
+
+_SHOWN = ("file", "branch", "seed_ord", "variant", "shuffle", "neg_slot", "input", "output", "explanation")
+
+
+def _augmented(spark: SparkSession, d: str, task: str, which: int) -> DataFrame:
+    if task == "mc":
+        return augment.multiple_choice(mcq.valid(_mc(spark, d)), RuleProvider())[which].select(*_SHOWN)
+    return augment.question_answer(mcq.valid(_qa(spark, d)), RuleProvider())[which].select(*_SHOWN)
+
+
+def mc_augment_pos(spark: SparkSession, d: str) -> DataFrame:
+    return _augmented(spark, d, "mc", 0)
+
+
+def mc_augment_neg(spark: SparkSession, d: str) -> DataFrame:
+    return _augmented(spark, d, "mc", 1)
+
+
+def qa_augment_pos(spark: SparkSession, d: str) -> DataFrame:
+    return _augmented(spark, d, "qa", 0)
+
+
+def qa_augment_neg(spark: SparkSession, d: str) -> DataFrame:
+    return _augmented(spark, d, "qa", 1)
+
+
+def augment_counts(spark: SparkSession, d: str) -> DataFrame:
+    rows = augment.augment(mcq.valid(_mc(spark, d)), mcq.valid(_qa(spark, d)), RuleProvider())
+    return rows.groupBy("task_kind", "polarity", "branch").agg(F.count("*").alias("n"))
+
+
+def prompt_corpus(spark: SparkSession, d: str) -> DataFrame:
+    return prompts.corpus(_one_per_id(spark, d)).select("example_id", F.coalesce("file", F.lit("")).alias("file"), "task_ord", "polarity_ord", "prompt")
+
+
+def holdout_split(spark: SparkSession, d: str) -> DataFrame:
+    rows = _one_per_id(spark, d).select("example_id")
+    return keyed.exact_holdout(rows, ["example_id"], 0.2)
+
+
+def head_batches(spark: SparkSession, d: str) -> DataFrame:
+    rows = prompts.corpus(_one_per_id(spark, d))
+    return batches.batched_head(rows, ["example_id"], 10, 4).select("example_id", "prompt", "batch")
+
+
+def row_by_index(spark: SparkSession, d: str) -> DataFrame:
+    return keyed.numbered(_one_per_id(spark, d).select("example_id", "polarity"), ["example_id"])
+
+
+def option_top3(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "option_scores").select("example_id", ranking.top_letters(F.col("scores")).alias("top3"))
+
+
+def option_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the best option is the one that was predicted."""
+    rows = table(spark, d, "option_scores").withColumn("best", ranking.top_letters(F.col("scores"), 1))
+    return rows.groupBy("best", "pred").agg(F.count("*").alias("n"))
+
+
+def _rouge(spark: SparkSession, d: str, n: int) -> DataFrame:
+    rows = metrics.rouge_n_built_in(table(spark, d, "eval_pair"), "pair_id", "prediction", "reference", n)
+    return rows.select("pair_id", F.round("f1", 6).alias("f1"))
+
+
+def rouge1(spark: SparkSession, d: str) -> DataFrame:
+    return _rouge(spark, d, 1)
+
+
+def rouge2(spark: SparkSession, d: str) -> DataFrame:
+    return _rouge(spark, d, 2)
+
+
+def rouge(spark: SparkSession, d: str) -> DataFrame:
+    """The mean of each measure over all pairs."""
+    rows = metrics.rouge(table(spark, d, "eval_pair"), "pair_id", "prediction", "reference")
+    return rows.agg(*[F.avg(c).alias(c) for c in ("rouge1", "rouge2", "rougeL", "rougeLsum")], F.count("*").alias("pairs"))
+
+
+def bertscore(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.bertscore(table(spark, d, "eval_pair"), "pair_id", "prediction", "reference")
+
+
+def mean_f1(spark: SparkSession, d: str) -> DataFrame:
+    return bertscore(spark, d).agg(F.avg("f1").alias("mean_f1"))
+
+
+def loss_series(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.loss_series(table(spark, d, "train_log"), "run_id")
+
+
+def page_documents(spark: SparkSession, d: str) -> DataFrame:
+    rows = retrieval.page_documents(retrieval.latest_pages(table(spark, d, "page_item")))
+    return rows.select("page_id", "page_content", F.col("metadata")["source"].alias("source"))
+
+
+def page_chunks(spark: SparkSession, d: str) -> DataFrame:
+    pages = retrieval.latest_pages(table(spark, d, "page_item"))
+    return pages.select("page_id", F.posexplode(retrieval.fixed_chunks("text", 200)).alias("chunk_no", "chunk"))
+
+
+def page_chunks_recursive(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.chunks(retrieval.latest_pages(table(spark, d, "page_item")), "page_id", "text")
+
+
+def vector_topk(spark: SparkSession, d: str) -> DataFrame:
+    base = table(spark, d, "embeddings")
+    found = retrieval.vector_topk(base, base.where("vec_id % 100 = 0"), "vec_id", "embedding")
+    return found.select("query_id", "rank", "id", F.round("similarity", 6).alias("similarity"))
+
+
+def rag_context(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.contexts(retrieval.latest_pages(table(spark, d, "page_item")), F.col("page_id") % 100 == 0)
+
+
+def seed_prompt(spark: SparkSession, d: str) -> DataFrame:
+    rows = mcq.valid(_qa(spark, d)).select("file", "seed_ord", "input", "output", "explanation")
+    sites = table(spark, d, "catalog").where("website is not null").groupBy("file").agg(F.min("website").alias("website"))
+    return batches.seed_prompts(rows, sites)
+
+
+def catalog_lookup(spark: SparkSession, d: str) -> DataFrame:
+    counts = _one_per_id(spark, d).groupBy("file").agg(F.count("*").alias("n"))
+    return counts.join(table(spark, d, "catalog").select("file", "website"), "file")
+
+
+def nested_export(spark: SparkSession, d: str) -> DataFrame:
+    rows = _one_per_id(spark, d).where("input is not null and output is not null")
+    docs = sinks.nested_documents(rows)
+    said = F.transform("positives", lambda e: F.concat_ws("|", e["Input"], e["Output"], e["Explanation"]))
+    return docs.select("file", "part", "task_kind", F.size("positives").alias("positives"), F.size("negatives").alias("negatives"), F.md5(F.array_join(said, "\n")).alias("digest"))
+
+
+def answer_distribution(spark: SparkSession, d: str) -> DataFrame:
+    rows = mcq.valid(_mc(spark, d))
+    return rows.groupBy("file", letter(F.col("answer_idx")).alias("answer")).agg(F.count("*").alias("n"))
+
+
+def answer_containment(spark: SparkSession, d: str) -> DataFrame:
+    rows = mcq.valid(_qa(spark, d))
+    kind = F.when(F.contains("fact", "output"), "exact").when(F.contains(F.lower("fact"), F.lower("output")), "ignoring case").otherwise("no")
+    return rows.groupBy("file", kind.alias("contained")).agg(F.count("*").alias("n"))
+
+
+_QUERIES: tuple[Query, ...] = (
+    p1_found, p5_found, p5_positive, mc_parse, qa_parse, parse_rejects, mc_shuffle, mc_distractors, mc_augment_pos, mc_augment_neg, qa_augment_pos, qa_augment_neg, augment_counts,
+    prompt_corpus, holdout_split, head_batches, row_by_index, option_top3, option_hits, rouge1, rouge2, rouge, bertscore, mean_f1, loss_series, page_documents, page_chunks,
+    page_chunks_recursive, vector_topk, rag_context, seed_prompt, catalog_lookup, nested_export, answer_distribution, answer_containment,
+)
+
+
+def queries() -> dict[str, Query]:
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
