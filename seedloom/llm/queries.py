@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from seedloom.llm import format_copies, lookalike, mixing, near_copies, packing, pair_defects
+from seedloom.llm.sql import ORACLES
 from seedloom.session import table
 
 
@@ -60,4 +61,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
