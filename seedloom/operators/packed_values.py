@@ -205,7 +205,7 @@ class Codes:
 
     def dialect(self, name: str) -> float:
         if not self.counts:
-            return 8.0 if "mixed" in name or "any" in name else 5.0
+            return 10.0 if "mixed" in name else 8.0 if "any" in name else 5.0
         return self.part("dialect", name, 6.0)
 
     def number(self, n: int) -> float:
@@ -216,7 +216,7 @@ class Codes:
     def word(self, context: int, word: str) -> float:
         """Bits of a word and of what stands before it."""
         if not self.counts:
-            return (6.0, 0.5, 1.0, 9.0, 8.0, 16.0, 10.0)[context]
+            return (6.0, 0.5, 1.0, 9.0, 8.0, 18.0, 10.0)[context]
         key = (context, word)
         if (bits := self.memo.get(key)) is None:
             get = self.counts.get
@@ -260,6 +260,13 @@ def cheapest(text: str, codes: Codes) -> tuple[str, str, list[str]] | None:
     for w, c in zip(words, contexts, strict=True):
         inner.append(inner[-1] + codes.word(c, w))
     opens: dict[int, float] = {}
+    seen: dict[tuple[int, int], float] = {}
+
+    def edges(a: int, b: int) -> float:
+        if (a, b) not in seen:
+            seen[a, b] = _edges(text[a:b].strip())
+        return seen[a, b]
+
     leads = [("", 0)]
     if m := _LEAD.match(text):
         leads.append((m[1].casefold(), m.end()))
@@ -282,7 +289,7 @@ def cheapest(text: str, codes: Codes) -> tuple[str, str, list[str]] | None:
                 if lo not in opens:
                     opens[lo] = codes.word(FIRST, words[lo])
                 bits += opens[lo] + inner[hi] - inner[lo + 1]
-                bits += _edges(text[a:b].strip())
+                bits += edges(a, b)
                 if bits > best_bits:
                     break
             if bits < best_bits:
@@ -294,6 +301,8 @@ def cheapest(text: str, codes: Codes) -> tuple[str, str, list[str]] | None:
 
 def _edges(value: str) -> float:
     """Bits of marks at a value's edges that its dialect leaves unexplained."""
+    if _LABEL.match(value):
+        return 8.0
     if value[0].isalnum() and (value[-1].isalnum() or value[-1] in ").%"):
         return 0.0
     if value[0] in _QUOTES:
@@ -324,7 +333,8 @@ def _count(codes: Codes):
                         c = c if i else FIRST
                         found[f"w{c}\t{crc32(w.lower().encode()) % BUCKETS}"] += 1
                         found[f"s{c}\t{_shape(w)}"] += 1
-        yield pd.DataFrame({"code": list(found.keys()), "n": list(found.values())}, columns=["code", "n"])
+        if found:
+            yield pd.DataFrame({"code": list(found.keys()), "n": list(found.values())})
 
     return run
 

@@ -64,8 +64,8 @@ class BatchProvider:
                 yield pd.DataFrame({"req_id": batch["req_id"], "response": call(batch)})
 
         record = F.to_json(args[0], {"ignoreNullFields": "false"}) if len(args) > 1 else F.lit(None).cast("string")
-        asked = df.withColumns({"_draw": draw.cast("int"), "_text": args[-1], "_record": record})
-        asked = asked.withColumn("req_id", key_hash(self.seed, F.lit(op), *[F.coalesce(F.col(k).cast("string"), F.lit("\u0002")) for k in key], F.col("_draw"), F.coalesce("_text", F.lit("\u0002"))))
-        requests = asked.select("req_id", F.lit(op).alias("op"), F.col("_draw").alias("draw"), F.col("_record").alias("record"), F.col("_text").alias("text")).dropDuplicates(["req_id"])
+        asked = df.withColumns({"_req_draw": draw.cast("int"), "_req_text": args[-1], "_req_record": record})
+        asked = asked.withColumn("req_id", key_hash(self.seed, F.lit(op), *[F.coalesce(F.col(k).cast("string"), F.lit("\u0002")) for k in key], F.col("_req_draw"), F.coalesce("_req_text", F.lit("\u0002"))))
+        requests = asked.select("req_id", F.lit(op).alias("op"), F.col("_req_draw").alias("draw"), F.col("_req_record").alias("record"), F.col("_req_text").alias("text")).dropDuplicates(["req_id"])
         answers = cut(requests.mapInPandas(answer, "req_id string, response string"), f"answers-{op}")
-        return asked.join(answers, "req_id", "left").withColumnRenamed("response", name).drop("req_id", "_draw", "_text", "_record")
+        return asked.join(answers, "req_id", "left").withColumnRenamed("response", name).drop("req_id", "_req_draw", "_req_text", "_req_record")

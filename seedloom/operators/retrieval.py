@@ -73,7 +73,8 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, width: int = 1000) -> Da
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [(i, k, c) for i, t in zip(batch["id"], batch["text"], strict=True) for k, c in enumerate(recursive_chunks(t, width))]
-            yield pd.DataFrame(rows, columns=["id", "chunk_no", "chunk"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["id", "chunk_no", "chunk"])
 
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInPandas(split, f"id {kind}, chunk_no int, chunk string").withColumnRenamed("id", id_col)
@@ -143,7 +144,9 @@ def vector_topk(base: DataFrame, queries: DataFrame, id_col: str, vec_col: str,
                                 heapq.heappush(best[x], entry)
                             else:
                                 heapq.heappushpop(best[x], entry)
-            yield pd.DataFrame([(ids[x], -o, s) for x in range(len(ids)) for s, o in best[x]], columns=["query_id", "id", "similarity"])
+            found = [(ids[x], -o, s) for x in range(len(ids)) for s, o in best[x]]
+            if found:
+                yield pd.DataFrame(found, columns=["query_id", "id", "similarity"])
 
         parts.append(rows.mapInPandas(search, schema))
     if not parts:

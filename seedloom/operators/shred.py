@@ -147,7 +147,8 @@ def shred(df: DataFrame, id_col: str, json_col: str, spec: Repeated = INSTRUCTIO
                     ids.append(rid)
                     ancestors.append(chain[-1].name)
                     leaves.append(cols)
-            yield pd.DataFrame({"record": ids, "ancestor": ancestors, "leaves": leaves})
+            if ids:
+                yield pd.DataFrame({"record": ids, "ancestor": ancestors, "leaves": leaves})
 
     rows = df.select(F.col(id_col).alias("id"), F.col(json_col).alias("raw")).where("id is not null and raw is not null")
     return rows.mapInPandas(run, f"record {kind}, ancestor string, leaves {_LEVELS}")
@@ -172,7 +173,8 @@ def rebuild(shredded: DataFrame, spec: Repeated = INSTRUCTION_FILE) -> DataFrame
                         if vals[i] is not None and (col["leaf"] or not chain[-1].leaves):
                             got[col["leaf"].lower() or "value"] = vals[i]
                 out += [(record, ancestor, _dotted(chain, at[:-1]), _dotted(chain, at), got) for at, got in rows.items()]
-            yield pd.DataFrame(out, columns=["record", "ancestor", "parent_path", "node_path", "leaf_values"])
+            if out:
+                yield pd.DataFrame(out, columns=["record", "ancestor", "parent_path", "node_path", "leaf_values"])
 
     return shredded.mapInPandas(run, f"record {kind}, ancestor string, parent_path string, node_path string, leaf_values map<string,string>")
 
