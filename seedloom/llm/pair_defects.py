@@ -4,7 +4,7 @@ Two models are fitted here, without labelled defects:
 
 * A character n-gram naive Bayes for languages starts from a bounded sample of
   labelled documents (``ROWS_PER_LANGUAGE``), names the language of every prompt, and is
-  fitted again on *all* pairs by their prompts' language.  A pair is defective if
+  fitted again on it and *all* pairs by their prompts' language.  A pair is defective if
   the posteriors of prompt and response name different languages with odds of
   at least ``e ** FOREIGN``.
 * An end-of-text model counts, over all responses of a field, how often a context of
@@ -227,8 +227,10 @@ def _unpack(x: bytes) -> np.ndarray:
 
 def fit(pairs: DataFrame, names: list[str], first: np.ndarray) -> tuple[np.ndarray, dict[str, tuple[np.ndarray, ...]]]:
     """Language counts and end-of-text counts over all pairs; arrays of fixed size, summed by piece."""
+    n = max(1, len(names))
+    if not names:
+        first = np.zeros((1, GRAMS), np.int64)
     start = pairs.sparkSession.sparkContext.broadcast(first)
-    n = len(names)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = Languages(start.value)
@@ -267,7 +269,8 @@ def fit(pairs: DataFrame, names: list[str], first: np.ndarray) -> tuple[np.ndarr
     counted = pairs.mapInPandas(count, schema).withColumn("part", F.spark_partition_id() % 32)
     once = counted.groupBy("piece", "part").applyInPandas(lambda f: add(f[["piece", "counts"]]), schema)
     got = {r["piece"]: _unpack(r["counts"]) for r in once.groupBy("piece").applyInPandas(add, schema).collect()}
-    grams = np.stack([got.get(f"grams {i}", np.zeros(GRAMS, np.int32)) for i in range(n)]) if n else np.zeros((0, GRAMS), np.int32)
+    # the sample stays in, for languages in which no prompt is written
+    grams = first + np.stack([got.get(f"grams {i}", np.zeros(GRAMS, np.int32)) for i in range(n)])
     empty = np.zeros(CONTEXTS // 8, np.int32)
     ends = {f: tuple(np.concatenate([got.get(f"{f} {k} {j}", empty) for j in range(8)]) for k in (0, 1, 2)) for f in _FIELDS}
     return grams, ends
