@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seedloom.session import spread
+
 #: Hashed word buckets per context; bounds the size of the code table.
 BUCKETS = 1 << 13
 #: What a word follows: it opens a value, or comes after blanks, no blank, a comma, a tab or line end, another delimiter, another mark.
@@ -341,7 +343,7 @@ def _count(codes: Codes):
 
 def value_codes(df: DataFrame, packed: Column) -> dict[str, int]:
     """Counts over all fields, by code; at most 7 x BUCKETS words and as many lead-ins, so a fixed size."""
-    counted = df.select(packed.alias("packed")).where("packed is not null").mapInPandas(_count(Codes()), "code string, n long")
+    counted = spread(df.select(packed.alias("packed")).where("packed is not null")).mapInPandas(_count(Codes()), "code string, n long")
     return {r["code"]: r["n"] for r in counted.groupBy("code").agg(F.sum("n").alias("n")).collect()}
 
 
@@ -363,7 +365,7 @@ def split_packed(df: DataFrame, id_col: str, packed: Column, version: Column | N
     version = F.lit(None).cast("timestamp") if version is None else version
     rows = df.select(F.col(id_col).alias("id"), version.cast("timestamp").alias("version"), packed.alias("packed"))
     kind = rows.schema["id"].dataType.simpleString()
-    read = rows.where("packed is not null and id is not null").mapInPandas(run, f"id {kind}, version timestamp, vals array<string>")
+    read = spread(rows.where("packed is not null and id is not null")).mapInPandas(run, f"id {kind}, version timestamp, vals array<string>")
     one = read.groupBy("id").agg(F.min(F.struct("version", "vals"))["vals"].alias("vals"))
     return one.select(F.col("id").alias(id_col), F.posexplode("vals").alias(f"{prefix}_pos", f"{prefix}_text"))
 

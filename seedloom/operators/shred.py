@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seedloom.session import spread
+
 
 @dataclass(frozen=True)
 class Repeated:
@@ -151,7 +153,7 @@ def shred(df: DataFrame, id_col: str, json_col: str, spec: Repeated = INSTRUCTIO
                 yield pd.DataFrame({"record": ids, "ancestor": ancestors, "leaves": leaves})
 
     rows = df.select(F.col(id_col).alias("id"), F.col(json_col).alias("raw")).where("id is not null and raw is not null")
-    return rows.mapInPandas(run, f"record {kind}, ancestor string, leaves {_LEVELS}")
+    return spread(rows).mapInPandas(run, f"record {kind}, ancestor string, leaves {_LEVELS}")
 
 
 def rebuild(shredded: DataFrame, spec: Repeated = INSTRUCTION_FILE) -> DataFrame:

@@ -58,6 +58,15 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its files are fewer: before costly work a row on a table that is one small file.
+
+    Larger tables have more splits than cores and stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def input_splits(spark: SparkSession) -> int:
     """Shuffle partitions of the session, the unit for explicit repartitioning."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
