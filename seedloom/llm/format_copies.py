@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seedloom.llm.common import join_counted, one_per_id, positive_rows, words
-from seedloom.session import cut, input_splits
+from seedloom.session import cut, input_splits, spread
 
 #: Bytes per edge of a trie.
 EDGE = 16
@@ -172,7 +172,8 @@ def copies(df: DataFrame, id_col: str, fields: list[str], parts: str | None = No
 def _classes(df: DataFrame, id_col: str, fields: list[str], parts: str | None, version: str | None) -> tuple[DataFrame, DataFrame, int]:
     columns = [parts_in_order(F.col(f)) if f == parts else F.col(f) for f in fields]
     when = F.col(version) if version else F.lit(0)
-    rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), when.alias("version"), fields_canonical(*columns).alias("canon"))
+    source = spread(df.where(F.col(id_col).isNotNull()).select(*dict.fromkeys([id_col, *fields, *([version] if version else [])])))
+    rows = source.select(F.col(id_col).alias("id"), when.alias("version"), fields_canonical(*columns).alias("canon"))
     pairs, classes, total = copy_classes(one_per_id(rows, "id", "version", "canon"), "id")
     return pairs, cut(classes, "classes"), total
 

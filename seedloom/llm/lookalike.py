@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seedloom.llm.common import join_counted
-from seedloom.session import cut
+from seedloom.session import cut, spread
 
 # Letters and marks of other alphabets with the Latin character drawn alike.
 LOOKALIKES = {
@@ -96,7 +96,8 @@ def _ranges(chars: dict[str, str]) -> str:
 def look_classes(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, int]:
     """Rows ``(id, digest)`` and classes ``(digest, first_id, form, n)``, one per distinct mapped value."""
     spark = df.sparkSession
-    rows = df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), looks(F.col(text_col)).alias("form"))
+    source = spread(df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(*dict.fromkeys([id_col, text_col])))
+    rows = source.select(F.col(id_col).alias("id"), looks(F.col(text_col)).alias("form"))
     rows = cut(rows.withColumn("digest", F.unhex(F.md5("form"))), "looks")
     rows.createOrReplaceTempView("_seedloom_looks")
     # equal mapped values first, so that a value held by many rows reaches the collation once

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from seedloom.llm.common import join_counted, positive_rows, words
 from seedloom.llm.components import components
-from seedloom.session import cut, input_splits
+from seedloom.session import cut, input_splits, spread
 
 FAN = 8
 DENSE = 512
@@ -457,7 +457,7 @@ def near_classes(df: DataFrame, id_col: str, text_col: str, version: str | None
     A block of more than ``dense_from`` texts takes the dense path; the result is the same.
     """
     spark = df.sparkSession
-    source = df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
+    source = spread(df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(*dict.fromkeys([id_col, text_col, *([version] if version else [])])))
     when = F.col(version) if version else F.lit(0)
     worded = source.select(F.col(id_col).cast("long").alias("id"), when.alias("version"), words(F.col(text_col)).alias("words")).withColumn("key", F.unhex(F.md5("words")))
     rows = worded.groupBy("id").agg(F.min(F.struct(F.col("version").alias("v"), F.col("words") != "", "key")).alias("x")).select("id", F.col("x.key").alias("key"))

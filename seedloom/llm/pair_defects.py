@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seedloom.llm.common import positive_rows
+from seedloom.session import spread
 
 ROWS_PER_LANGUAGE = 150
 GRAMS = 1 << 16
@@ -350,6 +351,7 @@ def defects(df: DataFrame, documents: DataFrame, id_col: str, version: str | Non
     kind = df.schema[id_col].dataType.simpleString()
     when = F.col(version) if version else F.lit(None)
     pairs = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), when.cast("timestamp").alias("version"), "input", "output", "explanation")
+    pairs = spread(pairs)
     names, first = first_languages(documents, "text", "lang", "doc_id")
     grams, ends = fit(pairs.select("input", "output", "explanation"), names, first)
     models = df.sparkSession.sparkContext.broadcast((grams, ends))

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seedloom.session import spread
+
 #: A rank file of a byte-level BPE; the path is a parameter everywhere.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how the tokenizer of that file cuts a text before merging bytes.
@@ -34,6 +36,6 @@ def token_sizes(df: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...]
             yield batch.drop(columns="text").assign(tokens=sizes)[["id", "tokens", *keep]]
 
     rows = df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *keep)
-    sized = rows.mapInPandas(count, f"id {kind}, tokens long" + (f", {kept}" if kept else ""))
+    sized = spread(rows).mapInPandas(count, f"id {kind}, tokens long" + (f", {kept}" if kept else ""))
     best = F.min(F.struct("tokens", *keep))
     return sized.groupBy("id").agg(best.alias("x")).select("id", "x.*")
