@@ -62,7 +62,7 @@ def improve(bins: list[list[int]], sizes: np.ndarray, capacity: int, passes: int
         if len(under) < 2:
             break
         changed = False
-        flat: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+        flat: tuple[np.ndarray, ...] | None = None
         for a in under:
             while 0 < fill[a] < capacity:
                 if flat is None:
@@ -71,11 +71,11 @@ def improve(bins: list[list[int]], sizes: np.ndarray, capacity: int, passes: int
                         if b not in options:
                             options[b] = _options(bins[b], sizes)
                     lengths = np.array([len(options[b][0]) for b in live])
-                    flat = np.concatenate([options[b][0] for b in live]), np.repeat(live, lengths), np.concatenate([np.arange(n) for n in lengths])
-                size, owner, place = flat
+                    size = np.concatenate([options[b][0] for b in live])
+                    order = np.argsort(size, kind="stable")
+                    flat = size, np.repeat(live, lengths), np.concatenate([np.arange(n) for n in lengths]), order, size[order]
+                size, owner, place, order, sorted_size = flat
                 give = options[a][0]
-                order = np.argsort(size, kind="stable")
-                sorted_size = size[order]
                 best, chosen = 0, None
                 room = capacity - fill[owner]
                 for g in np.argsort(-give, kind="stable"):
