@@ -2,7 +2,7 @@
 
 Texts are compared by the distinct runs of ``WIDTH`` words they hold.
 
-Fingerprint: each run flips one of 96 bits.  Two fingerprints differ in at most
+Fingerprint: each run flips one of 128 bits.  Two fingerprints differ in at most
 as many bits as there are runs that only one text holds, so two texts of sizes
 ``m`` and ``n`` whose similarity reaches ``t`` differ in at most
 ``(m + n)(1 - t) / (1 + t)`` bits: pruning by differences loses no link.
@@ -43,7 +43,7 @@ FAN = 8
 DENSE = 512
 #: Hashed buckets for the counts of runs.
 COUNTS = 1 << 20
-_BITS = 96
+_BITS = 128
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -96,7 +96,7 @@ class Runs:
 
 
 def fingerprints(row: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Rows that have runs, the number of runs, and the two words of each fingerprint (64 and 32 bits)."""
+    """Rows that have runs, the number of runs, and the two words of each fingerprint."""
     starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, np.int64)
     bit = ((run * _M3) >> np.uint64(40)) % np.uint64(_BITS)
     one = np.uint64(1)
@@ -120,7 +120,7 @@ def gray_rank(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.nda
     high = fold(first)
     odd = (np.bitwise_count(first) & 1).astype(bool)
     low = fold(second)
-    return high, np.where(odd, low ^ np.uint64(0xFFFFFFFF), low)
+    return high, np.where(odd, ~low, low)
 
 
 # --- the index --------------------------------------------------------------
@@ -413,7 +413,7 @@ def _rank_columns() -> list[Column]:
     low = fold(F.col("f1"))
     odd = F.bit_count("f0") % 2 == 1
     least = F.lit(-(2**63)).cast("long")
-    return [fold(F.col("f0")).bitwiseXOR(least).alias("g0"), F.when(odd, low.bitwiseXOR(F.lit(0xFFFFFFFF).cast("long"))).otherwise(low).alias("g1")]
+    return [fold(F.col("f0")).bitwiseXOR(least).alias("g0"), F.when(odd, F.bitwise_not(low)).otherwise(low).bitwiseXOR(least).alias("g1")]
 
 
 def rest_links(members: DataFrame, texts: DataFrame, comps: DataFrame, width: int, threshold: float, partitions: int, piece: int = DENSE) -> DataFrame:
