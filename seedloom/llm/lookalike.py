@@ -3,7 +3,8 @@
 Look-alike characters are mapped inside the JVM (``translate`` and two
 patterns), the mapped values are grouped under the accent-sensitive,
 case-sensitive collation ``UNICODE``, under which an accent written apart
-equals one written together, and each class's first member gives its form.
+equals one written together, and each class's first member gives its form.  Only values
+that share their plain characters are compared; all others are alone in their class.
 """
 
 from __future__ import annotations
@@ -98,20 +99,26 @@ def look_classes(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
     spark = df.sparkSession
     source = spread(df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(*dict.fromkeys([id_col, text_col])))
     rows = source.select(F.col(id_col).alias("id"), looks(F.col(text_col)).alias("form"))
-    rows = cut(rows.withColumn("digest", F.unhex(F.md5("form"))), "looks")
+    # what two values that the collation holds equal always share: their plain characters that bear no accent
+    bare = F.unhex(F.md5(F.regexp_replace("form", r"[\x00-\x7F]?\p{M}+|[^\x00-\x7F]", "")))
+    rows = cut(rows.withColumns({"digest": F.unhex(F.md5("form")), "bare": bare}), "looks")
     rows.createOrReplaceTempView("_seedloom_looks")
     # equal mapped values first, so that a value held by many rows reaches the collation once
-    values = spark.sql("SELECT digest, first(form) AS form, min(id) AS low, count(*) AS n FROM _seedloom_looks GROUP BY digest")
+    values = spark.sql("SELECT digest, first(bare) AS bare, first(form) AS form, min(id) AS low, count(*) AS n FROM _seedloom_looks GROUP BY digest")
     values = cut(values, "look-values")
     values.createOrReplaceTempView("_seedloom_look_values")
     classes = spark.sql(
         """
-        WITH classes AS (
-          SELECT form COLLATE UNICODE AS look, min(low) AS first_id, min_by(form, low) AS chosen, sum(n) AS members
-          FROM _seedloom_look_values GROUP BY form COLLATE UNICODE
+        WITH shared AS (SELECT bare FROM _seedloom_look_values GROUP BY bare HAVING count(*) > 1),
+        several AS (SELECT v.* FROM _seedloom_look_values v LEFT SEMI JOIN shared s ON v.bare = s.bare),
+        classes AS (
+          SELECT bare, form COLLATE UNICODE AS look, min(low) AS first_id, min_by(form, low) AS chosen, sum(n) AS members
+          FROM several GROUP BY bare, form COLLATE UNICODE
         )
         SELECT v.digest, c.first_id, c.chosen AS form, c.members, v.n
-        FROM _seedloom_look_values v JOIN classes c ON v.form COLLATE UNICODE = c.look
+        FROM several v JOIN classes c ON v.bare = c.bare AND v.form COLLATE UNICODE = c.look
+        UNION ALL
+        SELECT v.digest, v.low, v.form, v.n, v.n FROM _seedloom_look_values v LEFT ANTI JOIN shared s ON v.bare = s.bare
         """
     )
     return rows, classes, rows.count()
