@@ -13,7 +13,7 @@ import json
 import unicodedata
 from functools import cache
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seedloom.llm.common import join_counted
@@ -70,17 +70,17 @@ def character_maps() -> tuple[dict[str, str], dict[str, str]]:
     return one, several
 
 
-def looks(text: Column) -> Column:
-    """The text with unseen characters gone, and blanks, widths and look-alikes mapped."""
+def with_looks(df: DataFrame, text_col: str, name: str = "form") -> DataFrame:
+    """Adds the text with unseen characters gone, and blanks, widths and look-alikes mapped."""
     one, several = character_maps()
-    plain = F.regexp_replace(text, UNSEEN, "")
-    out = F.translate(plain, "".join(one), "".join(one.values()))
+    text = F.col(text_col)
+    mapped = F.translate(F.regexp_replace(text, UNSEEN, ""), "".join(one), "".join(one.values()))
+    # plain text has nothing to map but tabs and controls; two steps, so that no expression runs twice
+    out = df.withColumn("_mapped", F.when(F.rlike(text, F.lit(r"[^\n\r\x20-\x7E]")), mapped).otherwise(text))
     pairs = F.from_json(F.lit(json.dumps([{"f": c, "t": t} for c, t in several.items()])), "array<struct<f:string,t:string>>")
-    step = F.aggregate(pairs, out, lambda text, pair: F.replace(text, pair["f"], pair["t"]))
-    # the longer step runs only where a character of it occurs
-    mapped = F.when(F.rlike(out, F.lit(f"[{_ranges(several)}]")), step).otherwise(out)
-    # plain text has nothing to map but tabs and controls
-    return F.when(F.rlike(text, F.lit(r"[^\n\r\x20-\x7E]")), mapped).otherwise(text)
+    step = F.aggregate(pairs, F.col("_mapped"), lambda text, pair: F.replace(text, pair["f"], pair["t"]))
+    # the longer step runs only where a character of it may occur
+    return out.withColumn(name, F.when(F.rlike("_mapped", F.lit(f"[{_ranges(several)}]")), step).otherwise(F.col("_mapped"))).drop("_mapped")
 
 
 def _ranges(chars: dict[str, str]) -> str:
@@ -98,7 +98,7 @@ def look_classes(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
     """Rows ``(id, digest)`` and classes ``(digest, first_id, form, n)``, one per distinct mapped value."""
     spark = df.sparkSession
     source = spread(df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(*dict.fromkeys([id_col, text_col])))
-    rows = source.select(F.col(id_col).alias("id"), looks(F.col(text_col)).alias("form"))
+    rows = with_looks(source.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text")), "_text").select("id", "form")
     # what two values that the collation holds equal always share: their plain characters that bear no accent
     bare = F.unhex(F.md5(F.regexp_replace("form", r"[\x00-\x7F]?\p{M}+|[^\x00-\x7F]", "")))
     rows = cut(rows.withColumns({"digest": F.unhex(F.md5("form")), "bare": bare}), "looks")
