@@ -356,20 +356,29 @@ def _linked(frame: pd.DataFrame, runs: Runs, threshold: float, one_sided: bool)
     i, j, far = GrayIndex(block, sizes, first, second).pairs(threshold)
     tid, asks = frame["tid"].to_numpy(), frame["asks"].to_numpy()
     known = {c: k for k, c in enumerate(dict.fromkeys(frame["comp"]))}
-    union, comp = _Union(len(known)), [known[c] for c in frame["comp"]]
+    union, comp = _Union(len(known)), np.array([known[c] for c in frame["comp"]])
+    # one class left: nothing to join; pairs of one class, side or text never join any
+    classes = len(known)
+    keep = (comp[i] != comp[j]) & (tid[i] != tid[j])
+    if one_sided:
+        keep &= asks[i] != asks[j]
+    i, j, far = i[keep], j[keep], far[keep]
     held: dict[int, np.ndarray] = {}
     row, run = runs.of(frame["words"])
     cuts = np.searchsorted(row, np.arange(len(frame) + 1))
     links = []
     for k in np.argsort(far, kind="stable"):
         a, b = int(i[k]), int(j[k])
-        if one_sided and asks[a] == asks[b] or tid[a] == tid[b] or union.root(comp[a]) == union.root(comp[b]):
+        if classes == 1:
+            break
+        if union.root(comp[a]) == union.root(comp[b]):
             continue
         for x in (a, b):
             if x not in held:
                 held[x] = run[cuts[x] : cuts[x + 1]]
         if _reaches(held[a], held[b], threshold):
             union.join(comp[a], comp[b])
+            classes -= 1
             links.append((int(tid[a]), int(tid[b])))
     return links
 
