@@ -109,6 +109,34 @@ def rouge_n_built_in(df: DataFrame, id_col: str, prediction: str, reference: str
     return rows.join(hit, "id", "left").select(F.col("id").alias(id_col), F.when(F.coalesce("hit", F.lit(0)) > 0, 2 * F.col("hit") / F.col("total")).otherwise(F.lit(0.0)).alias("f1"))
 
 
+def bleu(df: DataFrame, prediction: str, reference: str, order: int = 4) -> DataFrame:
+    """One row: corpus ``bleu`` of n-grams up to ``order`` with its brevity penalty, and the ``pairs`` counted.
+
+    Null texts are empty ones.  0 where an order has no match, null for an empty table.
+    """
+    names = [f"{kind}{n}" for n in range(1, order + 1) for kind in ("hit", "all")]
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for p, r in zip(batch["p"], batch["r"], strict=True):
+                a, b = python_tokens(p), python_tokens(r)
+                row = [len(a), len(b)]
+                for n in range(1, order + 1):
+                    got, want = (Counter(tuple(t[i : i + n]) for i in range(len(t) - n + 1)) for t in (a, b))
+                    row += [(got & want).total(), got.total()]
+                rows.append(row)
+            yield pd.DataFrame(rows, columns=["given", "wanted", *names])
+
+    counts = df.select(F.col(prediction).alias("p"), F.col(reference).alias("r")).mapInPandas(count, ", ".join(f"{c} long" for c in ("given", "wanted", *names)))
+    total = counts.agg(*[F.sum(c).alias(c) for c in ("given", "wanted", *names)], F.count("*").alias("pairs"))
+    logs = [F.log(F.col(f"hit{n}") / F.col(f"all{n}")) for n in range(1, order + 1)]
+    none = F.least(*[F.col(f"hit{n}") for n in range(1, order + 1)]) == 0 if order > 1 else F.col("hit1") == 0
+    penalty = F.least(F.lit(0.0), 1 - F.col("wanted") / F.col("given"))
+    score = F.when(F.col("pairs") == 0, None).when(none, 0.0).otherwise(F.exp(penalty + sum(logs[1:], logs[0]) / order))
+    return total.select(score.alias("bleu"), "pairs")
+
+
 def hashed_embedding(token: str, size: int = 32) -> np.ndarray:
     """A unit vector from the token's character runs; stands in for a model."""
     v = np.zeros(size)

@@ -145,6 +145,10 @@ def rouge(spark: SparkSession, d: str) -> DataFrame:
     return rows.agg(*[F.avg(c).alias(c) for c in ("rouge1", "rouge2", "rougeL", "rougeLsum")], F.count("*").alias("pairs"))
 
 
+def bleu(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.bleu(table(spark, d, "eval_pair"), "prediction", "reference")
+
+
 def bertscore(spark: SparkSession, d: str) -> DataFrame:
     return metrics.bertscore(table(spark, d, "eval_pair"), "pair_id", "prediction", "reference")
 
@@ -212,7 +216,7 @@ def answer_containment(spark: SparkSession, d: str) -> DataFrame:
 
 _QUERIES: tuple[Query, ...] = (
     p1_found, p5_found, p5_positive, mc_parse, qa_parse, parse_rejects, mc_shuffle, mc_distractors, mc_augment_pos, mc_augment_neg, qa_augment_pos, qa_augment_neg, augment_counts,
-    prompt_corpus, holdout_split, head_batches, row_by_index, option_top3, option_hits, rouge1, rouge2, rouge, bertscore, mean_f1, loss_series, page_documents, page_chunks,
+    prompt_corpus, holdout_split, head_batches, row_by_index, option_top3, option_hits, rouge1, rouge2, rouge, bleu, bertscore, mean_f1, loss_series, page_documents, page_chunks,
     page_chunks_recursive, vector_topk, rag_context, seed_prompt, catalog_lookup, nested_export, answer_distribution, answer_containment,
 )
 

@@ -49,3 +49,14 @@ def test_bertscore(spark):
     assert abs(got[1]["f1"] - 2 * precision * recall / (precision + recall)) < 1e-9
     assert got[2]["f1"] == got[3]["f1"] == 0
     assert metrics.bertscore(df.limit(0), "id", "p", "r").agg(F.avg("f1")).first()[0] is None
+
+
+def test_bleu(spark):
+    pairs = [("the cat sat on the mat today", "the cat sat on a mat today"), (None, "x"), ("a b c d e", "a b c d e")]
+    df = spark.createDataFrame(pairs, "p string, r string")
+    got = metrics.bleu(df, "p", "r").first()
+    hits, totals = [6 + 5, 4 + 4, 2 + 3, 1 + 2], [7 + 5, 6 + 4, 5 + 3, 4 + 2]
+    want = np.exp(np.mean(np.log(np.array(hits) / np.array(totals)))) * np.exp(1 - 13 / 12)
+    assert abs(got["bleu"] - want) < 1e-12 and got["pairs"] == 3
+    assert metrics.bleu(df.limit(0), "p", "r").first()["bleu"] is None
+    assert metrics.bleu(df.where("p is null"), "p", "r").first()["bleu"] == 0
