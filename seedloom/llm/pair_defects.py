@@ -9,7 +9,8 @@ Two models are fitted here, without labelled defects:
   at least ``e ** FOREIGN``.
 * An end-of-text model counts, over all responses of a field, how often a context of
   up to 12 characters ends a text or sentence and how often it goes on.  A response
-  that no full stop closes is truncated if its end has a likelihood below ``BROKEN``.
+  that no full stop closes is truncated if its end has a likelihood below ``BROKEN``, unless
+  its last words end a phrase of the prompt too, as a whole option does.
 
 Both are arrays of hashed counts with a size fixed by ``GRAMS`` and ``CONTEXTS``.
 Refusals and stand-ins for nothing are named by fixed word patterns; copies are
@@ -297,6 +298,16 @@ def _bound(text: str, prompt_words: set[str]) -> float:
     return bound * BEGUN if begun else bound
 
 
+#: What follows a phrase that is whole in a prompt: a mark, the label of another option, a line's end.
+_WHOLE = r"(?=\s*(?:$|[;|/?!)\]\"'”»•\t\n(\[]|,(?!\d)|\.(?=\s|$))|\s+[^\W_][).:](?!\d)|\s+[^\W_]\s[-–]\s)"
+
+
+def ends_like_prompt(text: str, prompt: str, words: int = 3) -> bool:
+    """Whether the last words stand in the prompt too and a phrase ends there, such as a whole option."""
+    last = _WORD.findall(text.lower())[-words:]
+    return bool(last) and re.search(r"(?<![^\W_])" + r"[\W_]+".join(map(re.escape, last)) + _WHOLE, prompt.lower()) is not None
+
+
 def is_empty(output: object) -> bool:
     if not isinstance(output, str):
         return True
@@ -377,7 +388,9 @@ def defects(df: DataFrame, documents: DataFrame, id_col: str, version: str | Non
                     texts = batch[field].to_numpy()
                     bound = np.array([_bound(texts[i], sets[i]) for i in at])
                     low = end_likelihood([plain_end(texts[i], *_known(prompts[i])) for i in at], *ends[field]) < bound
-                    found[np.array(at)[low]] = "truncated"
+                    for k in np.flatnonzero(low):
+                        if not ends_like_prompt(texts[at[k]], prompts[at[k]]):
+                            found[at[k]] = "truncated"
             if languages is not None:
                 of_prompt = languages.scores([_spelled(_LETTERS.findall(p)) for p in prompts])
                 best = of_prompt.argmax(axis=1)

@@ -57,6 +57,15 @@ def test_copies(prompt, text, copy):
     assert pd_.copies_prompt(text, pd_._WORD.findall(prompt.lower()), prompt) is copy
 
 
+@pytest.mark.parametrize(
+    ("text", "whole"),
+    [("late red barges", True), ("the answer is late red barges", True), ("late red bar", False), ("slow boats", True), ("slow", False), ("between 08:54 and", False), ("2.65 poin", False), ("2", False), ("2.65 points", True)],
+)
+def test_ends_like_prompt(text, whole):
+    prompt = "Which? (A)late red barges (B) slow boats; open between 08:54 and 13:02, gain of 2.65 points."
+    assert pd_.ends_like_prompt(text, prompt) is whole
+
+
 def small(spark):
     rows = []
     for i in range(400):
