@@ -64,8 +64,11 @@ def cut(df: DataFrame, label: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores where its files are fewer: before costly work a row on a table that is one small file.
 
-    Larger tables have more splits than cores and stay as they are.
+    Larger tables have more splits than cores and stay as they are; so does what comes
+    out of a shuffle, whose partitions are not known before it has run.
     """
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
