@@ -8,11 +8,14 @@ Two models are fitted here, without labelled defects:
   the posteriors of prompt and response name different languages with odds of
   at least ``e ** FOREIGN``.
 * An end-of-text model counts, over all responses of a field, how often a context of
-  up to 12 characters ends a text or sentence and how often it goes on.  A response
-  that no full stop closes is truncated if its end has a likelihood below ``BROKEN``, unless
-  its last words end a phrase of the prompt too, as a whole option does.
-
-Both are arrays of hashed counts with a size fixed by ``GRAMS`` and ``CONTEXTS``.
+  up to 10 characters ends a text or sentence and how often it goes on.  A response
+  that no full stop closes is truncated if its end has a likelihood below ``BROKEN`` by all
+  responses but itself and its copies, however many (one that a full stop closes is no such copy), unless its last words end a phrase of the prompt too,
+  as a whole option does, or more prompts have just this response than have one that goes on from
+  there, as a common answer ("none") does.  Copies under one prompt count once in all of this.
+
+The first is an array of hashed counts with a size fixed by ``GRAMS``, the second a table of counts by context,
+hashed to one of ``CONTEXTS`` numbers.
 Refusals and stand-ins for nothing are named by fixed word patterns; copies are
 found by comparing words with the prompt and its question.
 """
@@ -22,7 +25,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
-from zlib import crc32
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -30,8 +33,8 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seedloom.llm.common import positive_rows
-from seedloom.session import spread
+from seedloom.llm.common import join_counted, one_per_id, positive_rows
+from seedloom.session import cut, spread
 
 ROWS_PER_LANGUAGE = 150
 GRAMS = 1 << 16
@@ -40,8 +43,12 @@ FOREIGN = 12.0
 BROKEN = 0.01
 #: An ellipsis at the end, or a last word that only begins a word of the prompt, speaks for a break: the bound is so many times higher.
 ELLIPSIS, BEGUN = 10.0, 5.0
-#: A text and up to so many copies of it say nothing about its own end.
-COPIES = 3
+#: So many prompts with the same response say nothing about its end; more do if they outnumber those whose response goes on there.
+COMMON = 3
+#: Weight of the shorter contexts against the counts of a longer one, and the likelihood of an end without any context.
+BACKED, ANY_END = 4.0, 0.05
+#: Contexts that a task holds before it hands their counts on.
+HELD = 1 << 20
 _ORDERS = (2, 3, 4, 5, 7, 10)
 _FIELDS = ("output", "explanation")
 _WORD = re.compile(r"[^\W_]+")
@@ -167,11 +174,15 @@ def plain_end(text: str, prompt_words: set[str], prompt_names: set[str] | frozen
     return re.sub(r"[^\w\x01\x02\x04 .!?]", ",", re.sub(r"[)\]]", "\x04", out)).rstrip(" .!?,_")
 
 
-def _end_events(bodies: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each order: buckets of contexts that occur, and of those that end a text or sentence."""
+def _contexts(bodies: list[str], field: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """For each order: its length, the contexts that occur, whether each ends a text or sentence, and the number of its body.
+
+    Then the context that ends each body, -1 for a shorter body, and how often that occurs and ends in the body itself.
+    """
     flat, begin = _codes([f"\x03{b}" for b in bodies])
+    sizes = np.fromiter((len(b) + 1 for b in bodies), np.int64, len(bodies))
     place = np.arange(len(flat))
-    start = begin[np.clip(np.searchsorted(begin, place, side="right") - 1, 0, None)]
+    owner = np.clip(np.searchsorted(begin, place, side="right") - 1, 0, None)
     mark = np.isin(flat, [0, 3, 32, 33, 44, 46, 63])
     after = np.r_[mark[1:], True]
     last = ~mark & after
@@ -180,8 +191,11 @@ def _end_events(bodies: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray
     for k, h in _rolling(flat):
         if k not in _ORDERS:
             continue
-        whole = place - k + 1 >= start
-        yield k, h[~mark & whole], h[stop & whole]
+        at = np.flatnonzero(~mark & (place - k + 1 >= begin[owner]))
+        context, ends, of = _number(h[at], k, field[owner[at]]), stop[at], owner[at]
+        final = np.where(sizes >= k, _number(h[begin + sizes - 1], k, field), -1)
+        own = context == final[of]
+        yield k, context, ends, of, final, np.bincount(of[own], minlength=len(bodies)), np.bincount(of[own & ends], minlength=len(bodies))
 
 
 def _rolling(flat: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -190,30 +204,71 @@ def _rolling(flat: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         shifted = np.r_[np.zeros(k - 1, np.uint64), flat[: len(flat) - k + 1]] if k > 1 else flat
         h = (h ^ shifted) * _P1
         h ^= h >> np.uint64(29)
-        yield k, (((h + np.uint64(k)) * _P2 >> np.uint64(20)) % np.uint64(CONTEXTS)).astype(np.int64)
-
-
-def _whole(bodies: list[str]) -> np.ndarray:
-    """A bucket for each body as a whole."""
-    return np.fromiter((crc32(b.encode("utf-8", "surrogatepass")) % CONTEXTS for b in bodies), np.int64, len(bodies))
-
-
-def end_likelihood(bodies: list[str], seen: np.ndarray, ended: np.ndarray, bodies_seen: np.ndarray, own: float = 4.0) -> np.ndarray:
-    """Likelihood that a text ends where each does, longer contexts backed by shorter ones.
-
-    The ends of the text itself and of a few copies of it are taken out of the counts.
+        yield k, h
+
+
+def _number(h: np.ndarray, k: int, field: np.ndarray) -> np.ndarray:
+    """The number of a context of a field, from the hash of its characters."""
+    mixed = (h + np.uint64(k)) * _P2 >> np.uint64(20)
+    return (mixed % np.uint64(CONTEXTS)).astype(np.int64) + CONTEXTS * field
+
+
+def _summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts by context, each once."""
+    context, seen, ended = (np.concatenate(x) for x in zip(*parts, strict=True))
+    code, one = pd.factorize(context)
+    return one, np.bincount(code, seen, len(one)).astype(np.int64), np.bincount(code, ended, len(one)).astype(np.int64)
+
+
+def _count_contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Counts of the contexts of distinct bodies, each as often as it has prompts; for each body that asks, a row for each context that ends it."""
+    held: list[tuple[np.ndarray, ...]] = []
+    size = 0
+    for batch in batches:
+        asks, prompts = batch["asked"].to_numpy() > 0, batch["prompts"].to_numpy()
+        unclosed = batch["unclosed"].to_numpy()
+        for k, context, ends, of, final, own_seen, own_ended in _contexts(list(batch["body"]), batch["field"].to_numpy(np.int64)):
+            held.append(_summed([(context, prompts[of], prompts[of] * ends)]))
+            size += len(held[-1][0])
+            on = asks & (own_seen > 0)
+            if on.any():
+                yield pd.DataFrame({"context": final[on], "seen": 0, "ended": 0, "key": batch["key"].to_numpy()[on], "place": k, "whole": (batch["body"].str.len() + 1 == k).to_numpy()[on], "prompts": prompts[on], "own_seen": (unclosed * own_seen)[on], "own_ended": (unclosed * own_ended)[on]})
+        if size > HELD:
+            held = [_summed(held)]
+            size = len(held[0][0])
+            if size > HELD // 2:
+                yield _rows_of(held)
+                held, size = [], 0
+    if held:
+        yield _rows_of(held)
+
+
+def _rows_of(held: list[tuple[np.ndarray, ...]]) -> pd.DataFrame:
+    context, seen, ended = _summed(held)
+    return pd.DataFrame({"context": context, "seen": seen, "ended": ended, "key": None, "place": 0, "whole": False, "prompts": 0, "own_seen": 0, "own_ended": 0})
+
+
+def end_likelihood(bodies: DataFrame) -> DataFrame:
+    """``(key, p, asked)`` from ``(field, body, key, prompt, bound, closed)``: the likelihood that a text ends where each body with a bound does.
+
+    Each body of a field counts once a prompt, and all that it holds itself is taken out of the counts for it, but for prompts
+    under which a full stop closes it; longer contexts are backed by shorter ones.  One that is the whole body can end copies alone, so
+    only closed ones give it a say.  ``asked`` is the number of its rows with a bound.  Only bodies with a likelihood below one
+    of their bounds have a row, and of those not the common ones: with more than ``COMMON`` prompts, and with more than go on after the longest context.
     """
-    out = np.clip(bodies_seen[_whole(bodies)], 1, COPIES)
-    flat, begin = _codes([f"\x03{b}" for b in bodies])
-    sizes = np.fromiter((len(b) + 1 for b in bodies), np.int64, len(bodies))
-    at = begin + sizes - 1
-    p = np.full(len(bodies), 0.05)
-    for k, h in _rolling(flat):
-        if k in _ORDERS:
-            b = h[at]
-            n, e = np.maximum(seen[b] - out, 0), np.maximum(ended[b] - out, 0)
-            p = np.where(sizes >= k, (e + own * p) / (n + own), p)
-    return p
+    texts = bodies.groupBy("field", "body", "key", "prompt").agg(F.max("bound").alias("bound"), F.count("bound").alias("asked"), F.max("closed").alias("closed"))
+    texts = texts.groupBy("field", "body", "key").agg(F.max("bound").alias("bound"), F.sum("asked").alias("asked"), F.count("*").alias("prompts"), F.count_if(~F.col("closed")).alias("unclosed"))
+    texts = cut(texts, "bodies")
+    counted = spread(texts.select("field", "body", "key", "asked", "prompts", "unclosed")).mapInPandas(_count_contexts, "context long, seen long, ended long, key string, place int, whole boolean, prompts long, own_seen long, own_ended long")
+    counted = cut(counted, "contexts")
+    asks = counted.where("key is not null").select("context", "key", "place", "whole", "prompts", "own_seen", "own_ended")
+    counts = counted.groupBy("context").agg(F.sum("seen").alias("seen"), F.sum("ended").alias("ended"), F.count("key").alias("n")).where("n > 0")
+    told = join_counted(asks, counts, "context", "n", asks.count())
+    steps = F.array_sort(F.collect_list(F.struct("place", "whole", (F.col("seen") - F.col("own_seen")).alias("n"), (F.col("ended") - F.col("own_ended")).alias("e"))))
+    steps = told.groupBy("key").agg(steps.alias("steps"), F.max("prompts").alias("prompts")).withColumn("longest", F.element_at("steps", -1))
+    p = F.aggregate(F.filter("steps", lambda x: ~x["whole"] | (x["e"] > 0)), F.lit(ANY_END), lambda p, x: (x["e"] + BACKED * p) / (x["n"] + BACKED))
+    rare = steps.where((F.col("prompts") <= COMMON) | (F.col("prompts") <= F.col("longest.n") - F.col("longest.e"))).select("key", p.alias("p"))
+    return rare.join(texts.where("asked > 0").select("key", "bound", "asked"), "key").where("p < bound").select("key", "p", "asked")
 
 
 # --- fitting over all pairs -----------------------------------------------------
@@ -227,8 +282,8 @@ def _unpack(x: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.int32)
 
 
-def fit(pairs: DataFrame, names: list[str], first: np.ndarray) -> tuple[np.ndarray, dict[str, tuple[np.ndarray, ...]]]:
-    """Language counts and end-of-text counts over all pairs; arrays of fixed size, summed by piece."""
+def fit(pairs: DataFrame, names: list[str], first: np.ndarray) -> np.ndarray:
+    """Language counts over all pairs; arrays of fixed size, summed by piece."""
     n = max(1, len(names))
     if not names:
         first = np.zeros((1, GRAMS), np.int64)
@@ -237,7 +292,6 @@ def fit(pairs: DataFrame, names: list[str], first: np.ndarray) -> tuple[np.ndarr
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = Languages(start.value)
         grams = np.zeros((n, GRAMS), np.int64)
-        ends = {f: np.zeros((3, CONTEXTS), np.int32) for f in _FIELDS}
         any_row = False
         for batch in batches:
             batch = batch[batch["input"].notna()]
@@ -250,18 +304,8 @@ def fit(pairs: DataFrame, names: list[str], first: np.ndarray) -> tuple[np.ndarr
             for texts in (prompts, responses):
                 at, bucket = _grams(texts)
                 grams += np.bincount(lang[at] * GRAMS + bucket, minlength=n * GRAMS).reshape(n, GRAMS)
-            for field in _FIELDS:
-                bodies = [plain_end(t, *_known(p)) for t, p in zip(batch[field], batch["input"], strict=True) if _says(t) and len(t) > 2]
-                if bodies:
-                    ends[field][2] += np.bincount(_whole(bodies), minlength=CONTEXTS).astype(np.int32)
-                    for _, seen, ended in _end_events(bodies):
-                        ends[field][0] += np.bincount(seen, minlength=CONTEXTS).astype(np.int32)
-                        ends[field][1] += np.bincount(ended, minlength=CONTEXTS).astype(np.int32)
         if any_row:
-            rows = [(f"grams {i}", _pack(grams[i])) for i in range(n)]
-            for f in _FIELDS:
-                rows += [(f"{f} {k} {j}", _pack(part)) for k in (0, 1, 2) for j, part in enumerate(np.split(ends[f][k], 8))]
-            yield pd.DataFrame(rows, columns=["piece", "counts"])
+            yield pd.DataFrame([(f"grams {i}", _pack(grams[i])) for i in range(n)], columns=["piece", "counts"])
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
         total = sum(_unpack(c).astype(np.int64) for c in frame["counts"])
@@ -272,10 +316,7 @@ def fit(pairs: DataFrame, names: list[str], first: np.ndarray) -> tuple[np.ndarr
     once = counted.groupBy("piece", "part").applyInPandas(lambda f: add(f[["piece", "counts"]]), schema)
     got = {r["piece"]: _unpack(r["counts"]) for r in once.groupBy("piece").applyInPandas(add, schema).collect()}
     # the sample stays in, for languages in which no prompt is written
-    grams = first + np.stack([got.get(f"grams {i}", np.zeros(GRAMS, np.int32)) for i in range(n)])
-    empty = np.zeros(CONTEXTS // 8, np.int32)
-    ends = {f: tuple(np.concatenate([got.get(f"{f} {k} {j}", empty) for j in range(8)]) for k in (0, 1, 2)) for f in _FIELDS}
-    return grams, ends
+    return first + np.stack([got.get(f"grams {i}", np.zeros(GRAMS, np.int32)) for i in range(n)])
 
 
 def _says(text: object) -> bool:
@@ -299,13 +340,17 @@ def _bound(text: str, prompt_words: set[str]) -> float:
 
 
 #: What follows a phrase that is whole in a prompt: a mark, the label of another option, a line's end.
-_WHOLE = r"(?=\s*(?:$|[;|/?!)\]\"'”»•\t\n(\[]|,(?!\d)|\.(?=\s|$))|\s+[^\W_][).:](?!\d)|\s+[^\W_]\s[-–]\s)"
+_WHOLE = re.compile(r"(?=\s*(?:$|[;|/?!)\]\"'”»•\t\n(\[]|,(?!\d)|\.(?=\s|$))|\s+[^\W_][).:](?!\d)|\s+[^\W_]\s[-–]\s)")
 
 
 def ends_like_prompt(text: str, prompt: str, words: int = 3) -> bool:
     """Whether the last words stand in the prompt too and a phrase ends there, such as a whole option."""
-    last = _WORD.findall(text.lower())[-words:]
-    return bool(last) and re.search(r"(?<![^\W_])" + r"[\W_]+".join(map(re.escape, last)) + _WHOLE, prompt.lower()) is not None
+    last, prompt = _WORD.findall(text.lower())[-words:], prompt.lower()
+    if not last or not all(w in prompt for w in last):
+        return False
+    spans = [(m[0], m.end()) for m in _WORD.finditer(prompt)]
+    n = len(last)
+    return any(w == last[-1] and [x for x, _ in spans[max(0, j - n + 1) : j + 1]] == last and _WHOLE.match(prompt, end) for j, (w, end) in enumerate(spans))
 
 
 def is_empty(output: object) -> bool:
@@ -356,20 +401,18 @@ def defects(df: DataFrame, documents: DataFrame, id_col: str, version: str | Non
     Defects, in the order in which they are looked for: ``empty``, ``refusal``, ``copy``, ``truncated``,
     ``language``.  A null input is compared with nothing, so only the first two and a
     broken end can be found.  A null, blank or ``undefined`` explanation is no defect.  Of rows that share
-    an id the one with the smallest version counts.  ``documents`` gives the
+    an id the one with the smallest version counts, ties by the smallest content.  ``documents`` gives the
     labelled sample (doc_id, text, lang); without labels no language is named.
     """
     kind = df.schema[id_col].dataType.simpleString()
     when = F.col(version) if version else F.lit(None)
-    pairs = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), when.cast("timestamp").alias("version"), "input", "output", "explanation")
-    pairs = spread(pairs)
+    rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), when.cast("timestamp").alias("version"), F.struct("input", "output", "explanation").alias("pair"))
+    pairs = spread(cut(one_per_id(rows, "id", "version", "pair").select("id", "pair.*"), "pairs"))
     names, first = first_languages(documents, "text", "lang", "doc_id")
-    grams, ends = fit(pairs.select("input", "output", "explanation"), names, first)
-    models = df.sparkSession.sparkContext.broadcast((grams, ends))
+    model = df.sparkSession.sparkContext.broadcast(fit(pairs.select("input", "output", "explanation"), names, first))
 
     def name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        grams, ends = models.value
-        languages = Languages(grams) if len(grams) > 1 else None
+        languages = Languages(model.value) if len(model.value) > 1 else None
         for batch in batches:
             found = np.full(len(batch), "", object)
             prompts = [p if isinstance(p, str) else "" for p in batch["input"]]
@@ -382,15 +425,18 @@ def defects(df: DataFrame, documents: DataFrame, id_col: str, version: str | Non
                     found[i] = "refusal"
                 elif copies_prompt(o, words[i], p) or copies_prompt(e, words[i], p):
                     found[i] = "copy"
+            known = [_known(p) for p in prompts]
+            # the prompt as its words, so that copies in another format are the same
+            ends = {"prompt": [int.from_bytes(blake2b(" ".join(w).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) for w in words]}
             for field in _FIELDS:
-                at = [i for i, t in enumerate(batch[field]) if not found[i] and _says(t) and len(t.strip()) > 3 and not _CLOSED.search(t.strip())]
-                if at:
-                    texts = batch[field].to_numpy()
-                    bound = np.array([_bound(texts[i], sets[i]) for i in at])
-                    low = end_likelihood([plain_end(texts[i], *_known(prompts[i])) for i in at], *ends[field]) < bound
-                    for k in np.flatnonzero(low):
-                        if not ends_like_prompt(texts[at[k]], prompts[at[k]]):
-                            found[at[k]] = "truncated"
+                bodies, bounds, closed = [None] * len(batch), [None] * len(batch), np.zeros(len(batch), bool)
+                for i, t in enumerate(batch[field]):
+                    if _says(t) and len(t) > 2:
+                        bodies[i] = plain_end(t, *known[i]) or None
+                        closed[i] = _CLOSED.search(t.strip()) is not None
+                        if not found[i] and len(t.strip()) > 3 and not closed[i] and not ends_like_prompt(t, prompts[i]):
+                            bounds[i] = _bound(t, sets[i])
+                ends |= {f"{field}_body": bodies, f"{field}_bound": pd.Series(bounds, dtype="float64"), f"{field}_closed": closed}
             if languages is not None:
                 of_prompt = languages.scores([_spelled(_LETTERS.findall(p)) for p in prompts])
                 best = of_prompt.argmax(axis=1)
@@ -406,11 +452,19 @@ def defects(df: DataFrame, documents: DataFrame, id_col: str, version: str | Non
                         s = languages.scores(told)
                         foreign = s.max(axis=1) - s[np.arange(len(at)), best[at]] > FOREIGN
                         found[np.array(at)[foreign]] = "language"
-            yield pd.DataFrame({"id": batch["id"], "version": batch["version"], "defect": found})
-
-    named = pairs.mapInPandas(name, f"id {kind}, version timestamp, defect string")
-    one = named.groupBy("id").agg(F.min(F.struct("version", "defect"))["defect"].alias("defect"))
-    return one.where("defect <> ''").select(F.col("id").alias(id_col), "defect")
+            yield pd.DataFrame({"id": batch["id"].to_numpy(), "defect": found, **ends})
+
+    schema = f"id {kind}, defect string, prompt long, " + ", ".join(f"{f}_body string, {f}_bound double, {f}_closed boolean" for f in _FIELDS)
+    named = cut(pairs.mapInPandas(name, schema), "named")
+    responses = F.explode(F.array(*[F.struct(F.lit(k).alias("field"), F.col(f"{f}_body").alias("body"), F.col(f"{f}_bound").alias("bound"), F.col(f"{f}_closed").alias("closed")) for k, f in enumerate(_FIELDS)]))
+    bodies = named.select("id", "prompt", responses.alias("x")).select("id", "prompt", "x.*").where("body is not null")
+    bodies = bodies.withColumn("key", F.md5(F.concat_ws(":", "field", "body")))
+    asking = bodies.where("bound is not null").select("key", "id", "bound")
+    broken = join_counted(asking, cut(end_likelihood(bodies), "ends"), "key", "asked", asking.count()).where("p < bound")
+    # a broken end is looked for before the language
+    found = named.where("defect <> ''").select("id", F.when(F.col("defect") == "language", 2).otherwise(0).alias("rank"), "defect")
+    found = found.unionByName(broken.select("id", F.lit(1).alias("rank"), F.lit("truncated").alias("defect")))
+    return found.groupBy("id").agg(F.min(F.struct("rank", "defect"))["defect"].alias("defect")).select(F.col("id").alias(id_col), "defect")
 
 
 def example_defects(examples: DataFrame, documents: DataFrame) -> DataFrame:

@@ -95,6 +95,19 @@ def test_each_defect(spark):
     assert not [k for k in got if k < 1000]
 
 
+@pytest.mark.parametrize("copies", [2, 5, 100])
+def test_copies_of_a_cut_do_not_vouch_for_it(spark, copies):
+    """Rows of one template that are cut at the same place, some of them sent twice."""
+    examples, docs = small(spark)
+    cuts = []
+    for i in range(copies):
+        town = f"Town{chr(97 + i % 26)}{chr(97 + i // 26)}"
+        cuts += [(2000 + i, "positive", f"Fact: the barges of {town} were counted. Question: where were the barges counted?", f"in {town}", f"The note from {town} says that the barges were counted by the har", None, "v")] * (1 + i % 2)
+    got = {r["example_id"]: r["defect"] for r in pd_.example_defects(examples.unionByName(spark.createDataFrame(cuts, SCHEMA)), docs).collect()}
+    assert {k: v for k, v in got.items() if k >= 2000} == {2000 + i: "truncated" for i in range(copies)}
+    assert not [k for k in got if k < 1000]
+
+
 def test_empty_tables(spark):
     examples, docs = small(spark)
     assert pd_.example_defects(examples.limit(0), docs).count() == 0
