@@ -99,31 +99,34 @@ def embed(rows: DataFrame, text_col: str, keep: list[str], model: Callable[[str]
     return rows.select(*keep, F.col(text_col).alias("_text")).mapInPandas(run, f"{schema}, embedding array<float>")
 
 
-def vector_topk(base: DataFrame, queries: DataFrame, id_col: str, vec_col: str, k: int = 4, block: int = QUERY_BLOCK) -> DataFrame:
+def vector_topk(base: DataFrame, queries: DataFrame, id_col: str, vec_col: str, k: int = 4, block: int = QUERY_BLOCK, group_col: str | None = None) -> DataFrame:
     """``(query_id, rank, id, similarity)``: the k rows most alike by cosine for each query, itself left out.
 
+    With ``group_col`` all rows of the query's group are left out, before the k best are taken.
+
     Queries go out in blocks of at most ``block`` vectors; each task keeps only its k best for each query of
     a block, and those few rows are ranked.  Ties go to the smaller id; rows without a vector or of length zero
     are not found and ask nothing.
     """
     spark = base.sparkSession
     n = queries.count()
-    asked = queries.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
+    group = F.col(group_col or id_col).alias("g")
+    asked = queries.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"), group)
     blocks = max(1, -(-n // block) * 2 if n > block else 1)
     kind = base.schema[id_col].dataType.simpleString()
     schema = f"query_id {kind}, id {kind}, similarity double"
     parts = []
-    rows = base.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
+    rows = base.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"), group)
     for b in range(blocks):
         mine = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b) if blocks > 1 else asked
-        got = [(r["id"], np.array(r["v"], np.float64)) for r in mine.where("id is not null and v is not null").collect()]
-        got = [(i, v / np.linalg.norm(v)) for i, v in got if np.linalg.norm(v) > 0]
+        got = [(r["id"], r["g"], np.array(r["v"], np.float64)) for r in mine.where("id is not null and v is not null").collect()]
+        got = [(i, g, v / np.linalg.norm(v)) for i, g, v in got if np.linalg.norm(v) > 0]
         if not got:
             continue
-        held = spark.sparkContext.broadcast(([i for i, _ in got], np.stack([v for _, v in got])))
+        held = spark.sparkContext.broadcast(([i for i, _, _ in got], [g for _, g, _ in got], np.stack([v for _, _, v in got])))
 
         def search(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            ids, q = held.value
+            ids, groups, q = held.value
             best: list[list[tuple[float, int]]] = [[] for _ in ids]
             for batch in batches:
                 keep = [i for i, v in enumerate(batch["v"]) if len(v) == q.shape[1]]
@@ -131,19 +134,19 @@ def vector_topk(base: DataFrame, queries: DataFrame, id_col: str, vec_col: str,
                     continue
                 m = np.stack([np.asarray(batch["v"].iloc[i], np.float64) for i in keep])
                 norm = np.linalg.norm(m, axis=1)
-                own = batch["id"].to_numpy()[keep]
-                m, own = m[norm > 0] / norm[norm > 0, None], own[norm > 0]
+                own, group = batch["id"].to_numpy()[keep], batch["g"].to_numpy()[keep]
+                m, own, group = m[norm > 0] / norm[norm > 0, None], own[norm > 0], group[norm > 0]
                 sims = np.round(q @ m.T, 9)
                 for x in range(len(ids)):
-                    s = sims[x]
-                    top = np.flatnonzero(s >= np.partition(s, -min(len(s), k + 1))[-min(len(s), k + 1)]) if len(s) else []
+                    others = np.flatnonzero((group != groups[x]) & (own != ids[x]))
+                    s = sims[x][others]
+                    top = np.flatnonzero(s >= np.partition(s, -min(len(s), k))[-min(len(s), k)]) if len(s) else []
                     for j in top:
-                        if own[j] != ids[x]:
-                            entry = (float(s[j]), -int(own[j]))
-                            if len(best[x]) < k:
-                                heapq.heappush(best[x], entry)
-                            else:
-                                heapq.heappushpop(best[x], entry)
+                        entry = (float(s[j]), -int(own[others[j]]))
+                        if len(best[x]) < k:
+                            heapq.heappush(best[x], entry)
+                        else:
+                            heapq.heappushpop(best[x], entry)
             found = [(ids[x], -o, s) for x in range(len(ids)) for s, o in best[x]]
             if found:
                 yield pd.DataFrame(found, columns=["query_id", "id", "similarity"])
@@ -166,10 +169,8 @@ def contexts(pages: DataFrame, asked: Column, k: int = 4, width: int = 1000) ->
     cuts = chunks(pages, "page_id", "text", width)
     keyed = cut(embed(cuts, "chunk", ["page_id", "chunk_no", "chunk"]).withColumn("chunk_id", F.col("page_id") * 100_000 + F.col("chunk_no")), "chunks")
     questions = embed(pages.where(asked & F.col("text").isNotNull()).withColumn("chunk_id", -F.col("page_id") - 1), "text", ["chunk_id", "page_id", "text"])
-    found = vector_topk(keyed, questions, "chunk_id", "embedding", k + 8)
-    named = found.join(keyed.select("chunk_id", "page_id", "chunk"), found["id"] == keyed["chunk_id"]).withColumn("asker", -F.col("query_id") - 1).where("page_id <> asker")
-    order = Window.partitionBy("asker").orderBy("rank")
-    top = named.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
-    told = top.groupBy("asker").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "chunk"))), lambda x: x["chunk"]), "\n\n").alias("context"))
+    found = vector_topk(keyed, questions, "chunk_id", "embedding", k, group_col="page_id")
+    named = found.join(keyed.select("chunk_id", "chunk"), found["id"] == keyed["chunk_id"]).withColumn("asker", -F.col("query_id") - 1)
+    told = named.groupBy("asker").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk"))), lambda x: x["chunk"]), "\n\n").alias("context"))
     out = told.join(pages.select("page_id", "text"), F.col("asker") == F.col("page_id"))
     return out.select("page_id", "context", F.concat(F.lit("Context:\n"), "context", F.lit("\n\nQuestion: "), "text", F.lit("\nAnswer:")).alias("prompt"))

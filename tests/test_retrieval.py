@@ -59,6 +59,15 @@ def test_contexts(spark):
     assert got[0]["prompt"].endswith("Question: red barges on the river\nAnswer:")
 
 
+def test_contexts_of_a_long_page(spark):
+    """All chunks of the page that asks are more like it than any other page's."""
+    long = "\n\n".join(f"red barges on the river {n}" for n in range(20))
+    df = spark.createDataFrame([(0, long), (1, "red barges"), (2, "green fields"), (3, "the river")], "page_id long, text string")
+    for k in (1, 3):
+        got = retrieval.contexts(df, F.col("page_id") == 0, k=k, width=30).collect()
+        assert len(got) == 1 and len(got[0]["context"].split("\n\n")) == k and "river 1" not in got[0]["context"]
+
+
 def test_crawl_source(spark, tmp_path):
     for n in (1, 2):
         (tmp_path / f"{n}.jsonl").write_text("".join(json.dumps({"url": f"u{n}{k}", "text": None if k else "t"}) + "\n" for k in range(2)))
