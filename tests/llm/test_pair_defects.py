@@ -1,5 +1,6 @@
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,6 +109,17 @@ def test_copies_of_a_cut_do_not_vouch_for_it(spark, copies):
     assert not [k for k in got if k < 1000]
 
 
+def test_contexts_are_never_taken_for_others():
+    """More contexts than any fixed array of counters has room for."""
+    rng = np.random.default_rng(0)
+    bodies = ["".join(map(chr, row)) for row in rng.integers(97, 123, (12_000, 60))]
+    found = {k: len(set(context)) for k, context, *_ in pd_._contexts(bodies, np.zeros(len(bodies), np.int64))}
+    for k in (5, 7, 10):
+        assert found[k] == len({f"\x03{b}"[i - k : i] for b in bodies for i in range(max(k, 2), 62)})
+    one, other = (next(x for k, x, *_ in pd_._contexts(["abc"], np.array([f])) if k == 2) for f in (0, 1))
+    assert not set(one) & set(other)
+
+
 def test_empty_tables(spark):
     examples, docs = small(spark)
     assert pd_.example_defects(examples.limit(0), docs).count() == 0
