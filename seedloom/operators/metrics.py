@@ -5,42 +5,44 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seedloom.functions.text import python_tokens, tokens
+from seedloom.functions.text import python_tokens
 
 _SCORES = "rouge1 double, rouge2 double, rougeL double, rougeLsum double"
 
 
-def lcs_length(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence, by bit vectors."""
+def _lcs_rows(a: list[str], b: list[str]) -> list[int]:
+    """For each beginning of ``b`` the places of ``a`` at which its longest common subsequence with it grows, as bits."""
     where: dict[str, int] = {}
     for i, x in enumerate(a):
         where[x] = where.get(x, 0) | 1 << i
-    row = 0
+    rows = [0]
     for y in b:
-        both = row | where.get(y, 0)
-        row = both & ~(both - (row << 1 | 1))
-    return row.bit_count()
+        both = rows[-1] | where.get(y, 0)
+        rows.append(both & ~(both - (rows[-1] << 1 | 1)))
+    return rows
+
+
+def lcs_length(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence."""
+    return _lcs_rows(a, b)[-1].bit_count()
 
 
 def _lcs_positions(a: list[str], b: list[str]) -> set[int]:
-    """Positions in ``a`` of one longest common subsequence with ``b``."""
-    n, m = len(a), len(b)
-    table = np.zeros((n + 1, m + 1), np.int32)
-    for i in range(n):
-        for j in range(m):
-            table[i + 1, j + 1] = table[i, j] + 1 if a[i] == b[j] else max(table[i, j + 1], table[i + 1, j])
-    out, i, j = set(), n, m
+    """Positions in ``a`` of one longest common subsequence with ``b``: from the ends, equal tokens first, then the side that loses nothing."""
+    rows = _lcs_rows(a, b)
+    out, i, j = set(), len(a), len(b)
     while i and j:
         if a[i - 1] == b[j - 1]:
             out.add(i - 1)
             i, j = i - 1, j - 1
-        elif table[i, j - 1] > table[i - 1, j]:
+        elif rows[j] >> (i - 1) & 1:
             j -= 1
         else:
             i -= 1
@@ -93,22 +95,6 @@ def rouge(df: DataFrame, id_col: str, prediction: str, reference: str) -> DataFr
     return rows.mapInPandas(score, f"id {kind}, {_SCORES}").withColumnRenamed("id", id_col)
 
 
-def rouge_n_built_in(df: DataFrame, id_col: str, prediction: str, reference: str, n: int) -> DataFrame:
-    """ROUGE-n per pair from built-in functions alone: ``f1``; ids must be unique."""
-
-    def grams(text: str) -> Column:
-        t = tokens(text)
-        if n == 1:
-            return t
-        return F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i: F.array_join(F.slice(t, i, n), " "))).otherwise(F.array().cast("array<string>"))
-
-    rows = df.select(F.col(id_col).alias("id"), grams(prediction).alias("p"), grams(reference).alias("r")).withColumn("total", F.size("p") + F.size("r"))
-    side = lambda c: rows.select("id", F.explode(c).alias("g"), F.lit(int(c == "p")).alias("isp"))
-    per = side("p").unionByName(side("r")).groupBy("id", "g").agg(F.sum("isp").alias("a"), (F.count("*") - F.sum("isp")).alias("b"))
-    hit = per.groupBy("id").agg(F.sum(F.least("a", "b")).alias("hit"))
-    return rows.join(hit, "id", "left").select(F.col("id").alias(id_col), F.when(F.coalesce("hit", F.lit(0)) > 0, 2 * F.col("hit") / F.col("total")).otherwise(F.lit(0.0)).alias("f1"))
-
-
 def bleu(df: DataFrame, prediction: str, reference: str, order: int = 4) -> DataFrame:
     """One row: corpus ``bleu`` of n-grams up to ``order`` with its brevity penalty, and the ``pairs`` counted.
 
@@ -137,20 +123,26 @@ def bleu(df: DataFrame, prediction: str, reference: str, order: int = 4) -> Data
     return total.select(score.alias("bleu"), "pairs")
 
 
-def hashed_embedding(token: str, size: int = 32) -> np.ndarray:
-    """A unit vector from the token's character runs; stands in for a model."""
-    v = np.zeros(size)
+@lru_cache(1 << 16)
+def hashed_embedding(token: str) -> np.ndarray:
+    """32 whole numbers from the token's runs of two and three characters; stands in for a model.
+
+    Each run adds or takes away 1 at the place that its md5 names: the first hex digit, plus 16 if the second is 8 or more; it adds if the third is.
+    """
+    v = np.zeros(32)
     padded = f"^{token}$"
     for k in (2, 3):
         for i in range(len(padded) - k + 1):
-            h = int.from_bytes(hashlib.blake2b(padded[i : i + k].encode(), digest_size=8).digest(), "little")
-            v[h % size] += 1 if h >> 63 else -1
-    norm = np.linalg.norm(v)
-    return v / norm if norm else v
+            h = [int(x, 16) for x in hashlib.md5(padded[i : i + k].encode()).hexdigest()[:3]]
+            v[h[0] + 16 * (h[1] >= 8)] += 1 if h[2] >= 8 else -1
+    v.flags.writeable = False
+    return v
 
 
 def embed_tokens(text: str | None) -> np.ndarray:
-    return np.array([hashed_embedding(t) for t in python_tokens(text)])
+    """A unit vector for each token; one of length zero stays."""
+    v = np.array([hashed_embedding(t) for t in python_tokens(text)])
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300) if len(v) else v
 
 
 def bertscore(df: DataFrame, id_col: str, prediction: str, reference: str, embed: Callable[[str | None], np.ndarray] = embed_tokens) -> DataFrame:

@@ -19,13 +19,14 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from zlib import crc32
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seedloom.operators.keyed import content_hash, one_per_id
 from seedloom.session import spread
 
 #: Hashed word buckets per context; bounds the size of the code table.
@@ -35,16 +36,22 @@ FIRST, SPACE, TIGHT, COMMA, BREAK, DELIMITER, OTHER = range(7)
 _SHAPES = 5
 _QUOTES = {'"': '"', "'": "'", "“": "”", "«": "»", "„": "“", "‘": "’"}
 _WORD = re.compile(r"[^\W_]+")
-_LEAD = re.compile(r"\s*([^\W\d_][^\n\t:;|/•\"“«„\[\]()]{0,48}?)\s*:(?=\s|[\"“«„'‘(\[]|$)")
+_LEAD = re.compile(r"\s*([^\W\d_][^\n\t:;|•\"“«„]*?)\s*:(?=\s|[\"“«„'‘(\[]|$)")
+_NUMBER = r"(?:[^\W\d_]+|\d+)"
 _LABELS = {
-    "round": r"\((\w{1,2})\)",
-    "square": r"\[(\w{1,2})\]",
-    "half": r"(\w{1,2})\)",
-    "dot": r"(\w{1,2})\.",
-    "colon": r"(\w{1,2}):(?=\s)",
-    "dash": r"(\w{1,2})\s[-–—](?=\s)",
+    "round": rf"\({_NUMBER}\)",
+    "square": rf"\[{_NUMBER}\]",
+    "half": rf"{_NUMBER}\)",
+    "dot": rf"{_NUMBER}\.",
+    "colon": rf"{_NUMBER}:(?=\s)",
+    "dash": rf"{_NUMBER}\s[-–—](?=\s)",
 }
-_LABEL = re.compile(r"(?<![^\s,;|/])(?:" + "|".join(f"(?P<{k}>{v})" for k, v in _LABELS.items()) + ")")
+_BEFORE = r"(?<![^\s,;|/])"
+_LABEL = re.compile(_BEFORE + "(?:" + "|".join(f"(?P<{k}>{v})" for k, v in _LABELS.items()) + ")")
+#: The label that a list of labelled values opens with; a colon or a quotation mark may stand before it.
+_OPENS = re.compile(r"(?<=:)\s*(?:[(\[]?(?:[Aa]|1)(?:[)\].]|:(?=\s)|\s[-–—](?=\s)))")
+#: What looks like a label at the edge of a value.
+_EDGE = re.compile(_BEFORE + "(?:" + "|".join(v.replace(_NUMBER, r"\w{1,2}") for v in _LABELS.values()) + ")")
 _BULLET = re.compile(r"(?:^|\n|(?<=:))[ \t]*[-*•‣·–][ \t]+")
 _DELIMITERS = {
     "comma": re.compile(r",(?=[\s\0\"'“«„‘]|$)|(?<=[\0\"'”»“’]),"),
@@ -119,18 +126,34 @@ def _quoted_spans(text: str) -> list[tuple[int, int]]:
     return spans
 
 
+def _count_up(first: str) -> Callable[[int], str]:
+    """The labels that follow a first one: 1, 2, 3 ..., or a to z, then aa, ab ..."""
+    if first == "1":
+        return lambda k: str(k + 1)
+
+    def letters(k: int) -> str:
+        out = ""
+        while k >= 0:
+            out = chr(97 + k % 26) + out
+            k = k // 26 - 1
+        return out
+
+    return letters
+
+
 def _labelled(text: str, start: int) -> Iterator[tuple[str, list[tuple[int, int]]]]:
     """Readings by labels that count up from A or 1, in one style or in mixed ones."""
     first = _LABEL.match(text, start)
-    if not first or first[first.lastgroup].strip("()[].:- –—").casefold() not in ("a", "1"):
+    opening = first and first[first.lastgroup].strip("()[].:- –—").casefold()
+    if opening not in ("a", "1"):
         return
+    label = _count_up(opening)
     found = list(_LABEL.finditer(text, start))
-    numbered = first[first.lastgroup].strip("()[].:- –—") == "1"
+    named = [m[m.lastgroup].strip("()[].:- –—").casefold() for m in found]
     for style in {first.lastgroup, "any"}:
         run: list[re.Match] = []
-        for m in found:
-            want = str(len(run) + 1) if numbered else chr(97 + len(run)) if len(run) < 26 else None
-            if style in (m.lastgroup, "any") and m[m.lastgroup].strip("()[].:- –—").casefold() == want:
+        for m, name in zip(found, named, strict=True):
+            if style in (m.lastgroup, "any") and name == label(len(run)):
                 run.append(m)
         if len(run) < 2 or style == "any" and len({m.lastgroup for m in run}) == 1:
             continue
@@ -145,6 +168,18 @@ def _labelled(text: str, start: int) -> Iterator[tuple[str, list[tuple[int, int]
         yield f"label-{style}", spans
 
 
+def _leads(text: str) -> list[tuple[str, int]]:
+    """What may stand before the first value, with where the values begin: nothing, the text up to the first colon, or up to the colon before a first label."""
+    out = [("", 0)]
+    m = _LEAD.match(text)
+    if m and not _LABEL.match(m[1]):
+        out.append((m[1].casefold(), m.end()))
+    m = _OPENS.search(text)
+    if m and m.start() != out[-1][1] and not _LABEL.match(text, len(text) - len(text.lstrip())):
+        out.append((text[: m.start() - 1].strip().casefold(), m.start()))
+    return out
+
+
 def _delimited(text: str, begin: int, start: int) -> Iterator[tuple[str, list[tuple[int, int]], int]]:
     """Readings split at a delimiter outside quoted values, with the delimiters used."""
     quoted = [s for s in _quoted_spans(text) if s[0] >= start]
@@ -200,9 +235,9 @@ class Codes:
         return -math.log2(n / (total + 1)) if n else math.log2(total + 1) + unseen
 
     def lead(self, lead: str) -> float:
-        spelled = 5.0 * len(lead)
+        spelled = min(5.0 * len(lead), 30.0 + 12.0 * (lead.count(" ") + 1)) if lead else 0.0
         if not self.counts:
-            return 6.0 if lead else 1.0
+            return 5.0 + lead.count(" ") + 1 if lead else 1.0
         return self.part("lead", str(crc32(lead.encode()) % BUCKETS) if lead else "", spelled)
 
     def dialect(self, name: str) -> float:
@@ -269,11 +304,8 @@ def cheapest(text: str, codes: Codes) -> tuple[str, str, list[str]] | None:
             seen[a, b] = _edges(text[a:b].strip())
         return seen[a, b]
 
-    leads = [("", 0)]
-    if m := _LEAD.match(text):
-        leads.append((m[1].casefold(), m.end()))
     best, best_bits = None, math.inf
-    for lead, begin in leads:
+    for lead, begin in _leads(text):
         start = begin
         while start < len(text) and text[start].isspace():
             start += 1
@@ -303,7 +335,7 @@ def cheapest(text: str, codes: Codes) -> tuple[str, str, list[str]] | None:
 
 def _edges(value: str) -> float:
     """Bits of marks at a value's edges that its dialect leaves unexplained."""
-    if _LABEL.match(value):
+    if _EDGE.match(value):
         return 8.0
     if value[0].isalnum() and (value[-1].isalnum() or value[-1] in ").%"):
         return 0.0
@@ -347,26 +379,27 @@ def value_codes(df: DataFrame, packed: Column) -> dict[str, int]:
     return {r["code"]: r["n"] for r in counted.groupBy("code").agg(F.sum("n").alias("n")).collect()}
 
 
-def split_packed(df: DataFrame, id_col: str, packed: Column, version: Column | None = None, prefix: str = "value") -> DataFrame:
+def split_packed(df: DataFrame, id_col: str, packed: Column, version: Column | None = None, content: Column | None = None, prefix: str = "value") -> DataFrame:
     """One row per value of each packed field: id, ``<prefix>_pos`` from 0, ``<prefix>_text``.
 
-    A null, empty or blank field has no rows.  Of rows that share an id the one
-    with the smallest ``version`` counts (null first), then the one with the
-    smallest values; a row sent again adds nothing.  Other columns of ``df`` are not read.
+    A null, empty or blank field has no rows.  Of rows that share an id one counts (``keyed.one_per_id``): the
+    earliest ``version``, then by ``content`` (the field itself if none is given); a row sent again adds nothing.
+    Other columns of ``df`` are not read.
     """
     codes = df.sparkSession.sparkContext.broadcast(value_codes(df, packed))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = Codes(codes.value)
         for batch in batches:
-            got = [cheapest(t, c) for t in batch["packed"]]
-            yield pd.DataFrame({"id": batch["id"], "version": batch["version"], "vals": [g[2] if g else [] for g in got]})
+            got = [cheapest(t, c) if isinstance(t, str) else None for t in batch["packed"]]
+            yield batch[["id", "version", "said"]].assign(vals=[g[2] if g else [] for g in got])
 
     version = F.lit(None).cast("timestamp") if version is None else version
-    rows = df.select(F.col(id_col).alias("id"), version.cast("timestamp").alias("version"), packed.alias("packed"))
+    said = content_hash(packed if content is None else content)
+    rows = df.select(F.col(id_col).alias("id"), version.cast("timestamp").alias("version"), said.alias("said"), packed.alias("packed"))
     kind = rows.schema["id"].dataType.simpleString()
-    read = spread(rows.where("packed is not null and id is not null")).mapInPandas(run, f"id {kind}, version timestamp, vals array<string>")
-    one = read.groupBy("id").agg(F.min(F.struct("version", "vals"))["vals"].alias("vals"))
+    read = spread(rows.where("id is not null")).mapInPandas(run, f"id {kind}, version timestamp, said string, vals array<string>")
+    one = one_per_id(read, "id", F.col("version"), F.col("said"), {"vals": F.col("vals")})
     return one.select(F.col("id").alias(id_col), F.posexplode("vals").alias(f"{prefix}_pos", f"{prefix}_text"))
 
 
@@ -374,4 +407,4 @@ def options_of(examples: DataFrame) -> DataFrame:
     """The options of the positive multiple-choice rows: what follows the first question mark."""
     rows = examples.where((F.col("polarity") == "positive") & (F.col("task_kind") == "Multiple Selection"))
     at = F.locate("?", F.col("input"))
-    return split_packed(rows, "example_id", F.when(at > 0, F.expr("substring(input, locate('?', input) + 1)")), F.col("loaded_at"))
+    return split_packed(rows, "example_id", F.when(at > 0, F.expr("substring(input, locate('?', input) + 1)")), F.col("loaded_at"), F.col("input"))

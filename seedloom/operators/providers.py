@@ -47,14 +47,28 @@ def stub_batch(requests: pd.DataFrame) -> list[str | None]:
 
 
 class BatchProvider:
-    """Calls ``make()`` once per task and its result once per batch: a frame of op, draw, record, text to a list of texts.
+    """Calls ``make()`` once per task and its result once per batch: a frame of op, draw, site, record, text to a list of texts.
 
-    ``record`` is the whole record as JSON for operations that need it, else null.
+    ``record`` is the whole record as JSON for operations that need it, else null; ``site`` is the address that the
+    row's file is about: its ``website`` column, null for rows without one.
     """
 
     def __init__(self, make: Callable[[], Callable[[pd.DataFrame], list[str | None]]], seed: int = 0) -> None:
         self.make, self.seed = make, seed
 
+    def asked(self, df: DataFrame, op: str, draw: Column, *args: Column, key: tuple[str, ...] = ()) -> DataFrame:
+        """The rows with what they ask for, and ``req_id``, the hash of all that tells a request from others."""
+        record = F.to_json(args[0], {"ignoreNullFields": "false"}) if len(args) > 1 else F.lit(None).cast("string")
+        site = F.col("website") if "website" in df.columns else F.lit(None).cast("string")
+        rows = df.withColumns({"_req_draw": draw.cast("int"), "_req_text": args[-1], "_req_record": record, "_req_site": site})
+        none = F.lit("\u0002")
+        return rows.withColumn("req_id", key_hash(self.seed, F.lit(op), *[F.coalesce(F.col(k).cast("string"), none) for k in key], F.col("_req_draw"), F.coalesce("_req_site", none), F.coalesce("_req_text", none)))
+
+    def requests(self, asked: DataFrame, op: str) -> DataFrame:
+        """The request table: req_id, op, draw, site, record, text."""
+        names = {"draw": "_req_draw", "site": "_req_site", "record": "_req_record", "text": "_req_text"}
+        return asked.select("req_id", F.lit(op).alias("op"), *[F.col(c).alias(n) for n, c in names.items()]).dropDuplicates(["req_id"])
+
     def fill(self, df: DataFrame, name: str, op: str, draw: Column, *args: Column, key: tuple[str, ...] = ()) -> DataFrame:
         make = self.make
 
@@ -63,9 +77,6 @@ class BatchProvider:
             for batch in batches:
                 yield pd.DataFrame({"req_id": batch["req_id"], "response": call(batch)})
 
-        record = F.to_json(args[0], {"ignoreNullFields": "false"}) if len(args) > 1 else F.lit(None).cast("string")
-        asked = df.withColumns({"_req_draw": draw.cast("int"), "_req_text": args[-1], "_req_record": record})
-        asked = asked.withColumn("req_id", key_hash(self.seed, F.lit(op), *[F.coalesce(F.col(k).cast("string"), F.lit("\u0002")) for k in key], F.col("_req_draw"), F.coalesce("_req_text", F.lit("\u0002"))))
-        requests = asked.select("req_id", F.lit(op).alias("op"), F.col("_req_draw").alias("draw"), F.col("_req_record").alias("record"), F.col("_req_text").alias("text")).dropDuplicates(["req_id"])
-        answers = cut(requests.mapInPandas(answer, "req_id string, response string"), f"answers-{op}")
-        return asked.join(answers, "req_id", "left").withColumnRenamed("response", name).drop("req_id", "_req_draw", "_req_text", "_req_record")
+        asked = self.asked(df, op, draw, *args, key=key)
+        answers = cut(self.requests(asked, op).mapInPandas(answer, "req_id string, response string"), f"answers-{op}")
+        return asked.join(answers, "req_id", "left").withColumnRenamed("response", name).drop("req_id", "_req_draw", "_req_text", "_req_record", "_req_site")

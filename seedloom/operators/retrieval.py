@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,6 +15,8 @@ from seedloom.session import cut
 
 #: Queries that are searched at once; bounds what a task holds.
 QUERY_BLOCK = 8192
+#: Numbers of the base that a task holds where the queries are more than one block.
+CELL = 1 << 24
 #: Where a text is cut, from the coarsest mark to none.
 SEPARATORS = ("\n\n", "\n", " ", "")
 
@@ -81,11 +82,9 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, width: int = 1000) -> Da
 
 
 def embed_text(text: str) -> np.ndarray:
-    """A unit vector from hashed tokens; stands in for a model."""
+    """The sum of the text's token vectors; stands in for a model."""
     parts = [hashed_embedding(t) for t in python_tokens(text)]
-    v = np.sum(parts, axis=0) if parts else np.zeros(32)
-    norm = np.linalg.norm(v)
-    return v / norm if norm else v
+    return np.sum(parts, axis=0) if parts else np.zeros(32)
 
 
 def embed(rows: DataFrame, text_col: str, keep: list[str], model: Callable[[str], np.ndarray] = embed_text) -> DataFrame:
@@ -99,78 +98,122 @@ def embed(rows: DataFrame, text_col: str, keep: list[str], model: Callable[[str]
     return rows.select(*keep, F.col(text_col).alias("_text")).mapInPandas(run, f"{schema}, embedding array<float>")
 
 
-def vector_topk(base: DataFrame, queries: DataFrame, id_col: str, vec_col: str, k: int = 4, block: int = QUERY_BLOCK, group_col: str | None = None) -> DataFrame:
+class _Best:
+    """The k rows most alike for each query of a block, from any number of batches; ties go to the smaller key."""
+
+    def __init__(self, queries: pd.DataFrame, key: list[str], k: int) -> None:
+        self.key, self.k = key, k
+        v, self.ids, groups = _units(queries, ["query_id"])
+        self.v = v
+        self.known = pd.Index(pd.unique(groups)) if len(groups) else pd.Index([])
+        self.group = self.known.get_indexer(groups)
+        self.least = np.full(len(v), -np.inf)
+        self.rows = pd.DataFrame({"x": pd.Series(dtype=np.int64), "similarity": pd.Series(dtype=float), **{c: pd.Series(dtype=object) for c in key}})
+
+    def add(self, batch: pd.DataFrame) -> None:
+        if not len(self.v):
+            return
+        m, keys, groups = _units(batch[[len(v) == self.v.shape[1] for v in batch["v"]]], self.key)
+        of = self.known.get_indexer(groups)
+        found = []
+        for at in range(0, len(m), 1024):
+            sims = np.round(self.v @ m[at : at + 1024].T, 9)
+            sims[self.group[:, None] == of[None, at : at + 1024]] = -np.inf
+            least = self.least
+            if sims.shape[1] > self.k:
+                least = np.maximum(least, np.partition(sims, -self.k, axis=1)[:, -self.k])
+            x, j = np.nonzero((sims >= least[:, None]) & (sims > -np.inf))
+            found.append(keys.iloc[at + j].assign(x=x, similarity=sims[x, j]))
+            if sum(map(len, found)) > 4 * self.k * len(self.v):
+                self._keep(found)
+                found = []
+        self._keep(found)
+
+    def _keep(self, found: list[pd.DataFrame]) -> None:
+        if not sum(map(len, found)):
+            return
+        rows = pd.concat([self.rows, *found] if len(self.rows) else found)
+        rows = rows.sort_values(["x", "similarity", *self.key], ascending=[True, False, *[True] * len(self.key)], kind="stable")
+        place = rows.groupby("x").cumcount()
+        self.rows = rows[place < self.k]
+        full = rows[place == self.k - 1]
+        self.least[full["x"].to_numpy(np.int64)] = full["similarity"].to_numpy(float)
+
+    def result(self) -> pd.DataFrame:
+        out = self.rows.assign(query_id=self.ids["query_id"].to_numpy()[self.rows["x"].to_numpy(np.int64)] if len(self.rows) else None)
+        return out[["query_id", *self.key, "similarity"]]
+
+
+def _units(frame: pd.DataFrame, key: list[str]) -> tuple[np.ndarray, pd.DataFrame, np.ndarray]:
+    """Unit vectors of the rows that have one, with their keys and groups."""
+    if frame.empty:
+        return np.zeros((0, 0)), frame[key], np.zeros(0, object)
+    m = np.stack([np.asarray(v, np.float64) for v in frame["v"]])
+    norm = np.linalg.norm(m, axis=1)
+    there = norm > 0
+    return m[there] / norm[there, None], frame.loc[there, key], frame["g"].to_numpy()[there]
+
+
+def vector_topk(base: DataFrame, queries: DataFrame, id_col: str, vec_col: str, k: int = 4, block: int = QUERY_BLOCK, group_col: str | None = None, key: list[str] | None = None, cell: int = CELL) -> DataFrame:
     """``(query_id, rank, id, similarity)``: the k rows most alike by cosine for each query, itself left out.
 
-    With ``group_col`` all rows of the query's group are left out, before the k best are taken.
+    ``key`` names the columns that tell rows of ``base`` apart, where one is not enough; they stand in the result in
+    place of ``id``.  With ``group_col`` all rows of the query's group are left out, before the k best are taken.
+    Ties go to the smaller id; rows without a vector, of length zero or of another size are not found and ask nothing.
 
-    Queries go out in blocks of at most ``block`` vectors; each task keeps only its k best for each query of
-    a block, and those few rows are ranked.  Ties go to the smaller id; rows without a vector or of length zero
-    are not found and ask nothing.
+    One block of queries is broadcast and the base read where it lies.  More are searched as a grid: each task holds a block of queries and a
+    part of the base with at most about ``cell`` numbers, and hands on only the k best of each query.
     """
     spark = base.sparkSession
-    n = queries.count()
+    names = key or [id_col]
     group = F.col(group_col or id_col).alias("g")
-    asked = queries.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"), group)
-    blocks = max(1, -(-n // block) * 2 if n > block else 1)
-    kind = base.schema[id_col].dataType.simpleString()
-    schema = f"query_id {kind}, id {kind}, similarity double"
-    parts = []
-    rows = base.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"), group)
-    for b in range(blocks):
-        mine = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b) if blocks > 1 else asked
-        got = [(r["id"], r["g"], np.array(r["v"], np.float64)) for r in mine.where("id is not null and v is not null").collect()]
-        got = [(i, g, v / np.linalg.norm(v)) for i, g, v in got if np.linalg.norm(v) > 0]
-        if not got:
-            continue
-        held = spark.sparkContext.broadcast(([i for i, _, _ in got], [g for _, g, _ in got], np.stack([v for _, _, v in got])))
-
-        def search(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            ids, groups, q = held.value
-            best: list[list[tuple[float, int]]] = [[] for _ in ids]
+    rows = base.where(F.col(vec_col).isNotNull()).select(*[F.col(c).alias(f"i{n}") for n, c in enumerate(names)], F.col(vec_col).alias("v"), group)
+    rows = rows.where(" and ".join(f"i{n} is not null" for n in range(len(names))))
+    asked = queries.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).select(F.col(id_col).alias("query_id"), F.col(vec_col).alias("v"), group)
+    keys = [f"i{n}" for n in range(len(names))]
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in keys}
+    schema = f"query_id {asked.schema['query_id'].dataType.simpleString()}, " + ", ".join(f"{c} {t}" for c, t in kinds.items()) + ", similarity double"
+    n = asked.count()
+    if n <= block:
+        held = spark.sparkContext.broadcast(asked.toPandas())
+
+        def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            best = _Best(held.value, keys, k)
             for batch in batches:
-                keep = [i for i, v in enumerate(batch["v"]) if len(v) == q.shape[1]]
-                if not keep:
-                    continue
-                m = np.stack([np.asarray(batch["v"].iloc[i], np.float64) for i in keep])
-                norm = np.linalg.norm(m, axis=1)
-                own, group = batch["id"].to_numpy()[keep], batch["g"].to_numpy()[keep]
-                m, own, group = m[norm > 0] / norm[norm > 0, None], own[norm > 0], group[norm > 0]
-                sims = np.round(q @ m.T, 9)
-                for x in range(len(ids)):
-                    others = np.flatnonzero((group != groups[x]) & (own != ids[x]))
-                    s = sims[x][others]
-                    top = np.flatnonzero(s >= np.partition(s, -min(len(s), k))[-min(len(s), k)]) if len(s) else []
-                    for j in top:
-                        entry = (float(s[j]), -int(own[others[j]]))
-                        if len(best[x]) < k:
-                            heapq.heappush(best[x], entry)
-                        else:
-                            heapq.heappushpop(best[x], entry)
-            found = [(ids[x], -o, s) for x in range(len(ids)) for s, o in best[x]]
-            if found:
-                yield pd.DataFrame(found, columns=["query_id", "id", "similarity"])
-
-        parts.append(rows.mapInPandas(search, schema))
-    if not parts:
-        return spark.createDataFrame([], f"query_id {kind}, rank int, id {kind}, similarity double")
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "similarity")
-
-
-def contexts(pages: DataFrame, asked: Column, k: int = 4, width: int = 1000) -> DataFrame:
+                best.add(batch)
+            yield best.result()
+
+        found = rows.mapInPandas(search, schema)
+    else:
+        there = rows.agg(F.sum(F.size("v")).alias("n")).first()["n"] or 0
+        parts, blocks = max(1, -(-there // cell)), -(-n // block)
+        mine = rows.withColumns({"b": F.pmod(F.xxhash64(*keys), F.lit(parts)), "q": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))})
+        asks = asked.withColumns({"q": F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"), "b": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))})
+
+        def cross(base_part: pd.DataFrame, query_part: pd.DataFrame) -> pd.DataFrame:
+            best = _Best(query_part, keys, k)
+            for at in range(0, len(base_part), 10_000):
+                best.add(base_part.iloc[at : at + 10_000])
+            return best.result()
+
+        found = mine.groupBy("b", "q").cogroup(asks.groupBy("b", "q")).applyInPandas(cross, schema)
+    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), *keys)
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    shown = [F.col(c).alias(x) for c, x in zip(keys, names, strict=True)] if key else [F.col("i0").alias("id")]
+    return ranked.select("query_id", "rank", *shown, "similarity")
+
+
+def contexts(pages: DataFrame, asked: Column, k: int = 4, width: int = 1000, cuts: DataFrame | None = None, model: Callable[[str], np.ndarray] = embed_text) -> DataFrame:
     """``(page_id, context, prompt)`` for each page that asks: the k chunks of other pages most like its text, best first.
 
-    ``asked`` is a condition on pages; their whole text is the question.
+    ``asked`` is a condition on pages, one row each; their whole text is the question.  ``cuts`` are the chunks (page_id, chunk_no, chunk), cut
+    recursively if none are given.  A page asks nothing and a chunk is not found if its vector has length zero.
     """
-    cuts = chunks(pages, "page_id", "text", width)
-    keyed = cut(embed(cuts, "chunk", ["page_id", "chunk_no", "chunk"]).withColumn("chunk_id", F.col("page_id") * 100_000 + F.col("chunk_no")), "chunks")
-    questions = embed(pages.where(asked & F.col("text").isNotNull()).withColumn("chunk_id", -F.col("page_id") - 1), "text", ["chunk_id", "page_id", "text"])
-    found = vector_topk(keyed, questions, "chunk_id", "embedding", k, group_col="page_id")
-    named = found.join(keyed.select("chunk_id", "chunk"), found["id"] == keyed["chunk_id"]).withColumn("asker", -F.col("query_id") - 1)
-    told = named.groupBy("asker").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk"))), lambda x: x["chunk"]), "\n\n").alias("context"))
-    out = told.join(pages.select("page_id", "text"), F.col("asker") == F.col("page_id"))
+    cuts = chunks(pages, "page_id", "text", width) if cuts is None else cuts
+    keyed = cut(embed(cuts, "chunk", ["page_id", "chunk_no", "chunk"], model), "chunks")
+    questions = embed(pages.where(asked & F.col("text").isNotNull()), "text", ["page_id"], model)
+    found = vector_topk(keyed, questions, "page_id", "embedding", k, key=["page_id", "chunk_no"])
+    named = found.join(keyed.select("page_id", "chunk_no", "chunk"), ["page_id", "chunk_no"])
+    told = named.groupBy(F.col("query_id").alias("page_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk"))), lambda x: x["chunk"]), "\n\n").alias("context"))
+    out = told.join(pages.select("page_id", "text"), "page_id")
     return out.select("page_id", "context", F.concat(F.lit("Context:\n"), "context", F.lit("\n\nQuestion: "), "text", F.lit("\nAnswer:")).alias("prompt"))

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seedloom.session import spread
+from seedloom.session import cut, spread
 
 
 @dataclass(frozen=True)
@@ -123,10 +123,24 @@ def _dotted(chain: tuple[Repeated, ...], at: tuple[int, ...]) -> str:
     return ".".join(f"{level.code}{k}" for level, k in zip(chain, at, strict=False))
 
 
+def read_record(text: object) -> tuple[object, str | None]:
+    """The value of a JSON text, or why it does not read."""
+    if not isinstance(text, str):
+        return None, "no text"
+    if not text.strip():
+        return None, "blank"
+    try:
+        return json.loads(text), None
+    except RecursionError:
+        return None, "nested too deep"
+    except ValueError:
+        return None, "no JSON"
+
+
 def shred(df: DataFrame, id_col: str, json_col: str, spec: Repeated = INSTRUCTION_FILE, keep_values: bool = True, names: tuple[str, ...] | None = None) -> DataFrame:
     """Columns of levels: one row for each record and repeated ancestor, with its leaves' level sequences.
 
-    A null, blank or invalid text and a JSON ``null`` have no rows.  ``names`` limits the ancestors.
+    A record that does not read has no rows here but one in ``rejects``; a JSON ``null`` has no nodes.  ``names`` limits the ancestors.
     """
     wanted = [c for c in chains(spec) if names is None or c[-1].name in names]
     kind = df.schema[id_col].dataType.simpleString()
@@ -135,10 +149,7 @@ def shred(df: DataFrame, id_col: str, json_col: str, spec: Repeated = INSTRUCTIO
         for batch in batches:
             ids, ancestors, leaves = [], [], []
             for rid, text in zip(batch["id"], batch["raw"], strict=True):
-                try:
-                    value = json.loads(text)
-                except (ValueError, TypeError, RecursionError):
-                    continue
+                value, _ = read_record(text)
                 if value is None:
                     continue
                 for chain in wanted:
@@ -156,6 +167,20 @@ def shred(df: DataFrame, id_col: str, json_col: str, spec: Repeated = INSTRUCTIO
     return spread(rows).mapInPandas(run, f"record {kind}, ancestor string, leaves {_LEVELS}")
 
 
+def rejects(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
+    """``(id, reason)`` for each record that does not read: no text, blank, no JSON or nested too deep."""
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            why = [read_record(t)[1] for t in batch["raw"]]
+            out = pd.DataFrame({"id": batch["id"], "reason": pd.Series(why, dtype=object, index=batch.index)})
+            yield out[out["reason"].notna()]
+
+    rows = df.select(F.col(id_col).alias("id"), F.col(json_col).alias("raw")).where("id is not null")
+    return spread(rows).mapInPandas(run, f"id {kind}, reason string").withColumnRenamed("id", id_col)
+
+
 def rebuild(shredded: DataFrame, spec: Repeated = INSTRUCTION_FILE) -> DataFrame:
     """Nodes of all ancestors from their level sequences: record, ancestor, parent_path, node_path, leaf values by name."""
     by_name = {c[-1].name: c for c in chains(spec)}
@@ -181,22 +206,27 @@ def rebuild(shredded: DataFrame, spec: Repeated = INSTRUCTION_FILE) -> DataFrame
     return shredded.mapInPandas(run, f"record {kind}, ancestor string, parent_path string, node_path string, leaf_values map<string,string>")
 
 
-def flat_tables(df: DataFrame, id_col: str, json_col: str, spec: Repeated = INSTRUCTION_FILE) -> dict[str, DataFrame]:
+def flat_tables(df: DataFrame, id_col: str, json_col: str, spec: Repeated = INSTRUCTION_FILE, names: tuple[str, ...] | None = None) -> dict[str, DataFrame]:
     """One flat table per repeated ancestor: id, parent_path, node_path and a column per leaf.
 
     parent_path is empty for the outermost ancestor.  Rows of ``df`` that are
-    repeated are shredded as often as they occur; other columns are not read.
+    repeated are shredded as often as they occur; other columns are not read.  ``names`` limits the tables.
+    Each record is read once: the level columns are written before more than one table is made of them.
     """
+    wanted = [c for c in chains(spec) if names is None or c[-1].name in names]
+    shredded = shred(df, id_col, json_col, spec, True, tuple(c[-1].name for c in wanted))
+    if len(wanted) > 1:
+        shredded = cut(shredded, "levels")
     out = {}
-    for chain in chains(spec):
+    for chain in wanted:
         level = chain[-1]
-        rows = rebuild(shred(df, id_col, json_col, spec, True, (level.name,)), spec)
+        rows = rebuild(shredded.where(F.col("ancestor") == level.name), spec)
         values = [F.col("leaf_values")[c.lower()].alias(c.lower()) for c in level.leaves] or ([F.col("leaf_values")["value"].alias("value")] if not level.inner else [])
         out[level.name] = rows.select(F.col("record").alias(id_col), "parent_path", "node_path", *values)
     return out
 
 
 def all_nodes(df: DataFrame, id_col: str, json_col: str, spec: Repeated = INSTRUCTION_FILE) -> DataFrame:
-    """Every node of every record: id, parent_path, node_path."""
-    rows = rebuild(shred(df, id_col, json_col, spec, keep_values=False), spec)
+    """Every node of every record: id, parent_path, node_path; the level columns of all leaves are made and read back."""
+    rows = rebuild(shred(df, id_col, json_col, spec), spec)
     return rows.select(F.col("record").alias(id_col), "parent_path", "node_path")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from seedloom.functions.text import BLANKS
+from seedloom.operators.batches import TEMPLATE
 
 _STRIP = "'" + BLANKS + "'"
 
@@ -96,6 +97,45 @@ h AS (SELECT pair_id, sum(least(a, b)) AS hit FROM (SELECT pair_id, gram, sum(a)
 SELECT g.pair_id, round(CASE WHEN coalesce(hit, 0) > 0 THEN 2.0::DOUBLE * hit / (len(p) + len(r)) ELSE 0.0 END, 6)::DOUBLE AS f1 FROM g LEFT JOIN h USING (pair_id)"""
 
 
+_TOKENS = "list_filter(string_split(regexp_replace(lower(coalesce({x}, '')), '[^a-z0-9]+', ' ', 'g'), ' '), lambda t: t <> '')"
+
+#: Longest common subsequence of both sides' tokens, row by row: the best length so far at each place of the reference.
+_LCS = f"""l0 AS (SELECT pair_id, {_TOKENS.format(x="prediction")} AS p, {_TOKENS.format(x="reference")} AS r FROM eval_pair),
+l1 AS (SELECT pair_id, p, r, 0 AS i, list_transform(r, lambda x: 0) AS best FROM l0
+  UNION ALL SELECT pair_id, p, r, i + 1, list_transform(range(1, len(r) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda t: CASE WHEN r[t] = p[i + 1] THEN 1 + CASE WHEN t > 1 THEN best[t - 1] ELSE 0 END ELSE best[t] END)))
+  FROM l1 WHERE i < len(p) AND len(r) > 0),
+l2 AS (SELECT pair_id, round(CASE WHEN len(r) > 0 AND best[len(r)] > 0 THEN 2.0::DOUBLE * best[len(r)] / (len(p) + len(r)) ELSE 0.0 END, 12)::DOUBLE AS f FROM l1 WHERE i = len(p) OR len(r) = 0)"""
+
+
+def _bleu() -> str:
+    grams = [f"list_transform(range(1, len({{s}}) - {n - 2}), lambda i: array_to_string(({{s}})[i:i + {n - 1}], ' '))" for n in range(1, 5)]
+    sides = " UNION ALL ".join(f"SELECT id, {n} AS n, '{s}' AS side, unnest({g.format(s=s)}) AS gram FROM t" for n, g in enumerate(grams, 1) for s in "pr")
+    return f"""WITH t AS (SELECT row_number() OVER () AS id, {_TOKENS.format(x="prediction")} AS p, {_TOKENS.format(x="reference")} AS r FROM eval_pair),
+c AS (SELECT id, n, gram, count(*) FILTER (side = 'p') AS a, count(*) FILTER (side = 'r') AS b FROM ({sides}) GROUP BY ALL),
+o AS (SELECT n, sum(least(a, b)) AS hit, sum(a) AS had FROM c GROUP BY n),
+s AS (SELECT sum(len(p)) AS given, sum(len(r)) AS wanted, count(*) AS pairs FROM t)
+SELECT round(CASE WHEN pairs = 0 THEN NULL WHEN (SELECT min(hit) FROM o) = 0 OR (SELECT count(*) FROM o WHERE had > 0) < 4 THEN 0.0::DOUBLE ELSE exp(least(0.0, 1 - wanted::DOUBLE / given) + (SELECT sum(ln(hit::DOUBLE / had)) FROM o) / 4) END, 9) AS bleu, pairs FROM s"""
+
+
+def _vectors(rows: str, key: str) -> str:
+    """Numbers of token vectors: for each row of ``rows`` (key, token) the places of its runs of characters, summed by key."""
+    return f"""SELECT {key}, dim, sum(sign)::DOUBLE AS v FROM (
+  SELECT {key}, position(h[1] IN '0123456789abcdef') - 1 + CASE WHEN h[2] >= '8' THEN 16 ELSE 0 END AS dim, CASE WHEN h[3] >= '8' THEN 1 ELSE -1 END AS sign FROM (
+    SELECT {key}, md5(substr('^' || token || '$', i, k)) AS h FROM (SELECT *, unnest(range(1, length(token) + 4 - k)) AS i FROM {rows}, (SELECT unnest([2, 3]) AS k)))) GROUP BY {key}, dim HAVING sum(sign) <> 0"""
+
+
+_BERT = f"""t AS (SELECT pair_id, {_TOKENS.format(x="prediction")} AS p, {_TOKENS.format(x="reference")} AS r FROM eval_pair),
+w AS (SELECT DISTINCT unnest(p || r) AS token FROM t),
+v AS ({_vectors("w", "token")}),
+n AS (SELECT token, sqrt(sum(v * v)) AS norm FROM v GROUP BY token),
+pt AS (SELECT pair_id, unnest(p) AS token, unnest(range(0, len(p))) AS at FROM t), rt AS (SELECT pair_id, unnest(r) AS token, unnest(range(0, len(r))) AS at FROM t),
+d AS (SELECT a.pair_id, a.at AS i, b.at AS j, coalesce((SELECT sum(x.v * y.v) FROM v x JOIN v y ON x.dim = y.dim WHERE x.token = a.token AND y.token = b.token) / nullif(na.norm * nb.norm, 0), 0) AS alike
+  FROM pt a JOIN rt b USING (pair_id) LEFT JOIN n na ON na.token = a.token LEFT JOIN n nb ON nb.token = b.token),
+pr AS (SELECT pair_id, avg(m) AS precision FROM (SELECT pair_id, i, max(alike) AS m FROM d GROUP BY ALL) GROUP BY pair_id),
+re AS (SELECT pair_id, avg(m) AS recall FROM (SELECT pair_id, j, max(alike) AS m FROM d GROUP BY ALL) GROUP BY pair_id),
+s AS (SELECT pair_id, coalesce(precision, 0.0) AS precision, coalesce(recall, 0.0) AS recall, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0.0) AS f1 FROM t LEFT JOIN pr USING (pair_id) LEFT JOIN re USING (pair_id))"""
+
+
 _PAGES = """pages AS (SELECT page_id, url, text FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY crawled_at DESC, url DESC NULLS LAST, text DESC NULLS LAST) AS rn
   FROM page_item WHERE page_id IS NOT NULL) WHERE rn = 1)"""
 
@@ -112,6 +152,25 @@ def _level(name: str, parent: str, code: str, path: str) -> str:
   WHERE json_type(l[i + 1]) <> 'NULL')"""
 
 
+def _rag(width: int, k: int) -> str:
+    return f"""WITH {_PAGES},
+chunks AS (SELECT page_id, c::INT AS chunk_no, substr(text, (c * {width} + 1)::BIGINT, {width}) AS chunk FROM (SELECT page_id, text, unnest(range(0, (length(text) + {width - 1}) // {width})) AS c FROM pages WHERE length(text) > 0)),
+texts AS (SELECT page_id, chunk_no, chunk AS t FROM chunks UNION ALL SELECT page_id, -1, text FROM pages WHERE page_id % 100 = 0 AND text IS NOT NULL),
+w AS (SELECT page_id, chunk_no, unnest({_TOKENS.format(x="t")}) AS token FROM texts),
+v AS ({_vectors("w", "page_id, chunk_no")}),
+n AS (SELECT page_id, chunk_no, sqrt(sum(v * v)) AS norm FROM v GROUP BY ALL),
+asks AS (SELECT page_id, norm FROM n WHERE chunk_no = -1),
+s AS (SELECT a.page_id AS asker, b.page_id, b.chunk_no, round(coalesce((SELECT sum(x.v * y.v) FROM v x JOIN v y ON x.dim = y.dim WHERE x.page_id = a.page_id AND x.chunk_no = -1 AND y.page_id = b.page_id AND y.chunk_no = b.chunk_no), 0) / (a.norm * b.norm), 9) AS sim
+  FROM asks a JOIN n b ON b.chunk_no >= 0 AND b.page_id <> a.page_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY asker ORDER BY sim DESC, page_id, chunk_no) AS rank FROM s),
+c AS (SELECT asker, string_agg(chunk, chr(10) || chr(10) ORDER BY rank) AS context FROM r JOIN chunks USING (page_id, chunk_no) WHERE rank <= {k} GROUP BY asker)
+SELECT page_id, context, 'Context:' || chr(10) || context || chr(10) || chr(10) || 'Question: ' || text || chr(10) || 'Answer:' AS prompt FROM c JOIN pages ON page_id = asker"""
+
+
+def _leaves(name: str) -> str:
+    return f"WITH {_NODES} SELECT record_id, parent_path, node_path, v->>'Input' AS input, v->>'Output' AS output, v->>'Explanation' AS explanation FROM {name}"
+
+
 _NODES = ",\n".join(
     (
         "raws AS (SELECT record_id, raw_json::JSON AS raw FROM instruction_files WHERE record_id IS NOT NULL AND json_valid(raw_json))",
@@ -127,7 +186,14 @@ _NODES = ",\n".join(
 
 ORACLES: dict[str, str] = {
     "p5_found": f"WITH {_NODES} " + " UNION ALL ".join(f"SELECT record_id, parent_path, node_path FROM {n}" for n in ("tn", "cn", "dn", "nn", "pn", "vn", "sn")),
-    "p5_positive": f"WITH {_NODES} SELECT record_id, parent_path, node_path, v->>'Input' AS input, v->>'Output' AS output, v->>'Explanation' AS explanation FROM pn",
+    "p5_task": f"WITH {_NODES} SELECT record_id, parent_path, node_path FROM tn",
+    "p5_category": f"WITH {_NODES} SELECT record_id, parent_path, node_path, v->>'$' AS value FROM cn",
+    "p5_definition": f"WITH {_NODES} SELECT record_id, parent_path, node_path, v->>'$' AS value FROM dn",
+    "p5_positive": _leaves("pn"),
+    "p5_negative": _leaves("nn"),
+    "p5_variant": _leaves("vn"),
+    "p5_shuffle": _leaves("sn"),
+    "p5_rejects": "SELECT record_id, CASE WHEN raw_json IS NULL THEN 'no text' WHEN trim(raw_json) = '' THEN 'blank' ELSE 'no JSON' END AS reason FROM instruction_files WHERE record_id IS NOT NULL AND (raw_json IS NULL OR NOT json_valid(raw_json))",
     "mc_parse": f"""WITH {_MC} SELECT seed_ord, head, tail, options[1] AS option_a, options[2] AS option_b, options[3] AS option_c, options[4] AS option_d, answer_idx,
   substr(cuts[2], 1, 2) || substr(cuts[3], 1, 2) || substr(cuts[4], 1, 2) = 'B)C)D)' AS labels_ok FROM mc""",
     "qa_parse": f"WITH {_QA} SELECT seed_ord, head, fact, question FROM qa",
@@ -158,22 +224,37 @@ ORACLES: dict[str, str] = {
     "option_hits": """SELECT CASE WHEN scores IS NOT NULL THEN list_sort(list_transform(range(0, 4), lambda i: {'s': scores[i + 1], 'l': ['A', 'B', 'C', 'D'][i + 1]}), 'DESC', 'NULLS LAST')[1].l END AS best, pred, count(*) AS n FROM option_scores GROUP BY ALL""",
     "rouge1": _rouge(1),
     "rouge2": _rouge(2),
+    "rouge_l": f"WITH RECURSIVE {_LCS} SELECT pair_id, round(f, 6) AS rouge_l, round(f, 6) AS rouge_l_sum FROM l2",
+    "rouge": f"WITH RECURSIVE {_LCS}, one AS ({_rouge(1)}), two AS ({_rouge(2)}) SELECT (SELECT round(avg(f1), 6) FROM one) AS rouge1, (SELECT round(avg(f1), 6) FROM two) AS rouge2, round(avg(f), 6) AS rougeL, round(avg(f), 6) AS rougeLsum, count(*) AS pairs FROM l2",
+    "bleu": _bleu(),
+    "bertscore": f"WITH {_BERT} SELECT pair_id, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM s",
+    "mean_f1": f"WITH {_BERT} SELECT round(avg(f1), 6) AS mean_f1 FROM s",
     "loss_series": "SELECT run_id, e.step AS step, e.loss AS loss FROM (SELECT run_id, unnest(log_history) AS e FROM train_log) WHERE e IS NOT NULL",
+    "trainer_state_read": "SELECT run_id, e.step AS step, e.loss AS loss FROM (SELECT run_id, unnest(log_history) AS e FROM train_log) WHERE e IS NOT NULL",
     "page_documents": f"WITH {_PAGES} SELECT page_id, coalesce(text, '') AS page_content, url AS source FROM pages",
     "page_chunks": f"""WITH {_PAGES} SELECT page_id, k::INT AS chunk_no, substr(text, (k * 200 + 1)::BIGINT, 200) AS chunk
   FROM (SELECT page_id, text, unnest(range(0, (length(text) + 199) // 200)) AS k FROM pages WHERE length(text) > 0)""",
     "vector_topk": """WITH s AS (SELECT q.vec_id AS query_id, b.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS sim
   FROM embeddings q JOIN embeddings b ON q.vec_id % 100 = 0 AND q.vec_id <> b.vec_id),
   r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS rank FROM s) SELECT query_id, rank::INT AS rank, id, round(sim, 6) AS similarity FROM r WHERE rank <= 4""",
-    "seed_prompt": f"""WITH {_QA}, f AS (SELECT file, string_agg('Input: ' || input || chr(10) || 'Output: ' || output || chr(10) || 'Explanation: ' || coalesce(explanation, 'undefined'), chr(10) || chr(10) ORDER BY seed_ord) AS shown
+    "rag_context": _rag(200, 4),
+    "seed_prompt": f"""WITH {_QA}, f AS (SELECT file, string_agg(json_object('Input', input, 'Output', output, 'Explanation', coalesce(explanation, 'undefined'))::VARCHAR, ',' || chr(10) ORDER BY seed_ord) AS shown
   FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY seed_ord) AS k FROM qa) WHERE k <= 2 GROUP BY file)
-  SELECT c.file, '### Context ###' || chr(10) || 'Summarize the basic facts of this page: ' || website || chr(10) || '### Example ###' || chr(10) || coalesce(shown, '') || chr(10)
-  || '### Objective ###' || chr(10) || 'Write 10 question and answer pairs of the same form about that page.' || chr(10) || '### Output ###' || chr(10) || 'JSON objects with Input, Output and Explanation.' AS prompt
+  SELECT c.file, replace(replace(replace('{TEMPLATE}', '{{website}}', website), '{{examples}}', coalesce(shown, '')), '{{wanted}}', '10') AS prompt
   FROM (SELECT file, min(website) AS website FROM catalog WHERE website IS NOT NULL GROUP BY file) c LEFT JOIN f ON f.file = c.file""",
+    "written_seeds": f"""WITH {_QA} SELECT file, floor(seed_ord / 100)::BIGINT AS part, (row_number() OVER (PARTITION BY file, floor(seed_ord / 100) ORDER BY seed_ord) - 1)::INT AS seed_ord, input, output, explanation FROM qa""",
+    "provider_requests": f"""WITH {_MC}, c AS (SELECT file, min(website) AS website FROM catalog WHERE website IS NOT NULL GROUP BY file)
+  SELECT md5(concat_ws(':', '0', 'paraphrase_explanation', file, task_kind, seed_ord::VARCHAR, '2', coalesce(website, chr(2)), coalesce(explanation, chr(2)))) AS req_id, 'paraphrase_explanation' AS op, 2 AS draw, website AS site,
+  json_object('input', input, 'output', output, 'explanation', explanation)::VARCHAR AS record, explanation AS text FROM mc LEFT JOIN c USING (file)""",
     "catalog_lookup": f"WITH {_EX} SELECT c.file, website, n FROM (SELECT file, count(*) AS n FROM ex GROUP BY file) e JOIN catalog c ON c.file = e.file",
     "nested_export": f"""WITH {_EX} SELECT coalesce(file, '') AS file, floor(example_id / 1000)::BIGINT AS part, task_kind, (count(*) FILTER (polarity = 'positive'))::INT AS positives, (count(*) FILTER (polarity = 'negative'))::INT AS negatives,
-  md5(coalesce(string_agg(concat_ws('|', input, output, explanation), chr(10) ORDER BY example_id) FILTER (polarity = 'positive'), '')) AS digest
+  md5(coalesce(string_agg(concat_ws('|', input, output, explanation), chr(10) ORDER BY example_id) FILTER (polarity = 'positive'), '')) AS positives_digest,
+  md5(coalesce(string_agg(concat_ws('|', input, output, explanation), chr(10) ORDER BY example_id) FILTER (polarity = 'negative'), '')) AS negatives_digest
   FROM ex WHERE input IS NOT NULL AND output IS NOT NULL GROUP BY 1, 2, 3""",
+    "file_round_trip": f"""WITH {_EX}, {_NODES},
+  f AS (SELECT file, c.v->>'$' AS task_kind, min(d.v->>'$') AS definition FROM cn c JOIN dn d USING (record_id, parent_path) JOIN instruction_files USING (record_id) WHERE file IS NOT NULL GROUP BY ALL),
+  e AS (SELECT coalesce(file, '') AS file, task_kind, polarity, (row_number() OVER (PARTITION BY coalesce(file, ''), floor(example_id / 100000), task_kind, polarity ORDER BY example_id) - 1)::INT AS seed_ord, input, output, explanation FROM ex WHERE input IS NOT NULL AND output IS NOT NULL)
+  SELECT file, task_kind, coalesce(definition, '') AS definition, polarity, seed_ord, input, output, explanation FROM e LEFT JOIN f USING (file, task_kind)""",
     "answer_distribution": f"WITH {_MC} SELECT file, output AS answer, count(*) AS n FROM mc GROUP BY ALL",
     "answer_containment": f"""WITH {_QA} SELECT file, CASE WHEN contains(fact, output) THEN 'exact' WHEN contains(lower(fact), lower(output)) THEN 'ignoring case' ELSE 'no' END AS contained, count(*) AS n FROM qa GROUP BY ALL""",
 }

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 import uuid
 from pathlib import Path
 
+from py4j.java_gateway import JavaObject
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -40,34 +43,67 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="seedloom-ckpt-"))
+    if not named:
+        named = tempfile.mkdtemp(prefix="seedloom-ckpt-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+    spark.sparkContext.setCheckpointDir(named)
+
+
+#: Paths that this process has written below a checkpoint folder.
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh path below the checkpoint folder, for tables that cut lineage."""
     ensure_checkpoint_dir(spark)
     root = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return f"{root}/{label}-{uuid.uuid4().hex}"
+    _written.append(f"{root}/{label}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
+def clear_cuts(spark: SparkSession) -> int:
+    """Remove every table that ``cut`` has written in this process; returns how many.
+
+    For a caller that has written its result: frames that were built on these tables can no longer be read.
+    """
+    n = 0
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        n += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Unlike ``checkpoint()`` this writes compressed columns, so later steps
-    read only the columns they need; a lost executor loses nothing.
+    read only the columns they need; a lost executor loses nothing.  The table stays until ``clear_cuts``.
     """
     path = shared_dir(df.sparkSession, label)
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _shuffles(plan: JavaObject) -> bool:
+    """Whether rows of a physical plan go through a shuffle; sides that are broadcast do not count."""
+    name = plan.getClass().getSimpleName()
+    if name == "ShuffleExchangeExec":
+        return True
+    if name == "AdaptiveSparkPlanExec":
+        return _shuffles(plan.initialPlan())
+    if name == "BroadcastExchangeExec":
+        return False
+    children = plan.children()
+    return any(_shuffles(children.apply(i)) for i in range(children.size()))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores where its files are fewer: before costly work a row on a table that is one small file.
 
     Larger tables have more splits than cores and stay as they are; so does what comes
     out of a shuffle, whose partitions are not known before it has run.
     """
-    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+    if _shuffles(df._jdf.queryExecution().executedPlan()):
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -6,11 +6,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seedloom import schemas
+from seedloom.operators.keyed import content_hash, one_per_id
 
 
 def read_tasks(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """One row per task of pretty-printed instruction files: ``file`` (name without ``.json``) and the task's columns."""
+    """One row per task of pretty-printed instruction files: ``file`` and the task's columns.
+
+    ``file`` is the folder's ``file=`` where there is one (``sinks.write_instruction_files``), else the name without ``.json``.
+    """
     rows = spark.read.schema(schemas.INSTRUCTION_TASK).option("multiLine", True).json(paths)
+    if "file" in rows.columns:
+        return rows.withColumn("file", F.coalesce(F.col("file").cast("string"), F.lit("")))
     return rows.withColumn("file", F.regexp_replace(F.col("_metadata.file_name"), r"(_generated)?\.json$", ""))
 
 
@@ -24,9 +30,9 @@ def task_seeds(tasks: DataFrame, polarity: str = "Positive Example") -> DataFram
 def example_seeds(examples: DataFrame, task_kind: str) -> DataFrame:
     """Positive rows of an examples table as seeds, one per example_id (the earliest), which is their seed_ord."""
     rows = examples.where((F.col("polarity") == "positive") & (F.col("task_kind") == task_kind) & F.col("example_id").isNotNull())
-    first = F.min(F.struct("loaded_at", "file", "input", "output", "explanation")).alias("x")
-    one = rows.groupBy(F.col("example_id").alias("seed_ord")).agg(first)
-    return one.select(F.coalesce("x.file", F.lit("")).alias("file"), F.lit(task_kind).alias("task_kind"), "seed_ord", "x.input", "x.output", "x.explanation")
+    columns = {c: F.col(c) for c in ("file", "input", "output", "explanation")}
+    one = one_per_id(rows, "example_id", F.col("loaded_at"), content_hash(*columns.values()), columns)
+    return one.select(F.coalesce("file", F.lit("")).alias("file"), F.lit(task_kind).alias("task_kind"), F.col("example_id").alias("seed_ord"), "input", "output", "explanation")
 
 
 def fragments(text: Column) -> Column:
@@ -46,7 +52,12 @@ def read_trainer_state(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.TRAINER_STATE).option("multiLine", True).json(path)
 
 
+def write_config(configs: DataFrame, path: str) -> None:
+    """Configurations (``config``, a map) as one JSON object a line; overwrites."""
+    configs.select(F.to_json("config").alias("value")).write.mode("overwrite").text(path)
+
+
 def read_config(spark: SparkSession, path: str) -> DataFrame:
-    """A saved configuration as one row with its keys and values as text."""
+    """Saved configurations, one row a file, with their keys and values as text; values that are no text keep their JSON form."""
     text = spark.read.text(path, wholetext=True)
     return text.select(F.from_json("value", "map<string,string>").alias("config"))

@@ -42,3 +42,8 @@ def test_core_queries_equal_their_sql(spark, entry):
 def test_core_never_imports_llm():
     code = "import sys, seedloom.plans.catalog as c; c.queries(); sys.exit('seedloom.llm' in sys.modules)"
     assert os.spawnv(os.P_WAIT, sys.executable, [sys.executable, "-c", code]) == 0
+
+
+def test_a_broken_subpackage_leaves_the_core():
+    code = "import sys; sys.modules['seedloom.llm'] = None; import __spark_entry__ as e; sys.exit(not (e.queries() and e.oracle_sql() and 'p2_found' not in e.queries()))"
+    assert os.spawnve(os.P_WAIT, sys.executable, [sys.executable, "-c", code], os.environ | {"PYTHONPATH": os.path.dirname(os.path.dirname(os.path.abspath(__file__)))}) == 0

@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 from hypothesis import given
 from hypothesis import strategies as st
@@ -27,6 +29,14 @@ def test_lcs(a, b):
     assert len(at) == slow_lcs(a, b) and slow_lcs([a[i] for i in at], b) == len(at)
 
 
+def test_long_lines_of_rouge():
+    rng = np.random.default_rng(0)
+    a, b = (" ".join(f"w{k}" for k in rng.integers(0, 500, 5000)) for _ in range(2))
+    began = time.perf_counter()
+    assert 0 < metrics.rouge_l_sum(a, b) < 1 and metrics.rouge_l_sum(a, a) == 1
+    assert time.perf_counter() - began < 10
+
+
 def test_rouge(spark):
     df = spark.createDataFrame(PAIRS, "id long, p string, r string")
     got = {r["id"]: r for r in metrics.rouge(df, "id", "p", "r").collect()}
@@ -34,16 +44,15 @@ def test_rouge(spark):
     assert got[2]["rouge1"] == got[3]["rougeL"] == got[3]["rougeLsum"] == 0
     assert abs(got[4]["rougeL"] - 6 / 8) < 1e-9
     assert got[5]["rougeLsum"] == 1.0
-    for n in (1, 2):
-        plain = {r["id"]: r["f1"] for r in metrics.rouge_n_built_in(df, "id", "p", "r", n).collect()}
-        assert all(abs(plain[i] - got[i][f"rouge{n}"]) < 1e-9 for i in plain) and len(plain) == len(PAIRS)
+    # ids may be repeated
+    assert metrics.rouge(df.union(df), "id", "p", "r").count() == 2 * len(PAIRS)
     assert metrics.rouge(df.limit(0), "id", "p", "r").count() == 0
 
 
 def test_bertscore(spark):
     df = spark.createDataFrame(PAIRS, "id long, p string, r string")
     got = {r["id"]: r for r in metrics.bertscore(df, "id", "p", "r").collect()}
-    a, b = ([metrics.hashed_embedding(t) for t in python_tokens(x)] for x in PAIRS[0][1:])
+    a, b = ([v / np.linalg.norm(v) for v in map(metrics.hashed_embedding, python_tokens(x))] for x in PAIRS[0][1:])
     precision = np.mean([max(float(x @ y) for y in b) for x in a])
     recall = np.mean([max(float(x @ y) for x in a) for y in b])
     assert abs(got[1]["f1"] - 2 * precision * recall / (precision + recall)) < 1e-9

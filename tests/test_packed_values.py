@@ -1,11 +1,15 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
 from seedloom.operators.packed_values import Codes, cheapest, options_of, split_packed
 
 CASES = [
-    (" (A)Japan (B)U.S. (C)Germany (D)Italy", ["Japan", "U.S.", "Germany", "Italy"]),
-    (" (A) CSV (B) JSON (C) XML (D) Various graph formats", ["CSV", "JSON", "XML", "Various graph formats"]),
+    (" (A)Norwick (B)St. Orb (C)Pellham (D)Vey", ["Norwick", "St. Orb", "Pellham", "Vey"]),
+    (" (A) rope (B) TAR (C) PITCH (D) All kinds of sail", ["rope", "TAR", "PITCH", "All kinds of sail"]),
+    (" Of all that the harbour board wrote down about its boats in that long summer (see the note) choose: (A) red barges (B) blue barges", ["red barges", "blue barges"]),
+    (" Of all that the harbour board wrote about its boats / barges choose one: red barges; blue barges; green barges", ["red barges", "blue barges", "green barges"]),
     ("\nA) one way\nB) two ways\nC) no way", ["one way", "two ways", "no way"]),
     (' A: "60,719 riders" / B: "79.1 riders" / C: "6,709 riders"', ["60,719 riders", "79.1 riders", "6,709 riders"]),
     (" Choices: A. red barges; B. blue barges; C. green barges", ["red barges", "blue barges", "green barges"]),
@@ -31,6 +35,14 @@ def test_dialects(spark, text, values):
     assert got[2] == values
 
 
+@pytest.mark.parametrize("form", ["({0}) barge {1} ", "{0}. barge {1}; "])
+@pytest.mark.parametrize("letters", [True, False])
+def test_labels_count_on(form, letters):
+    names = [chr(97 + k) for k in range(26)] + [a + chr(97 + k) for a in "abcd" for k in range(26)] if letters else [str(k + 1) for k in range(130)]
+    got = cheapest(" " + "".join(form.format(n.upper(), k) for k, n in enumerate(names)), Codes())
+    assert got[2] == [f"barge {k}" for k in range(130)]
+
+
 def test_counts_tell_commas_inside_values_from_those_between(spark):
     """A comma stays in a value where the corpus has shown that what follows it opens no value."""
     rows = [(i, f" (A) leaves at {i % 7}, mostly (B) stays at {i % 5}, mostly (C) turns at {i % 3}, mostly") for i in range(60)]
@@ -57,6 +69,17 @@ def test_versions(spark):
     rows = [(1, " (A) new (B) b", "2024-01-02"), (1, " (A) old (B) b", "2024-01-01")]
     df = spark.createDataFrame(rows, "id long, t string, at string").withColumn("at", F.to_timestamp("at"))
     assert split_packed(df, "id", F.col("t"), F.col("at")).where("value_pos = 0").first()["value_text"] == "old"
+    # an earlier delivery counts even if it holds nothing
+    earlier = df.unionByName(spark.createDataFrame([(1, None, "2023-01-01")], "id long, t string, at string").withColumn("at", F.to_timestamp("at")))
+    assert split_packed(earlier, "id", F.col("t"), F.col("at")).count() == 0
+
+
+def test_equal_versions_go_by_content(spark):
+    rows = [(1, f" (A) v{n} (B) b") for n in range(6)]
+    want = min((hashlib.md5(t.encode()).hexdigest(), t) for _, t in rows)[1][5:7]
+    for n in (1, 4):
+        got = split_packed(spark.createDataFrame(rows, "id long, t string").repartition(n), "id", F.col("t"))
+        assert [r["value_text"] for r in got.orderBy("value_pos").collect()] == [want, "b"]
 
 
 def test_options_end_and_polarity(spark):

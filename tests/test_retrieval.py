@@ -40,8 +40,8 @@ def test_topk_against_brute_force(spark):
     rows = [(i, v) for i, v in enumerate(vectors)] + [(900, None), (901, [0.0] * 8)]
     df = spark.createDataFrame(rows, "id long, v array<float>")
     base = df.repartition(5)
-    for block in (1000, 8):
-        got = retrieval.vector_topk(base, df.where("id % 10 = 0"), "id", "v", 4, block).collect()
+    for block, cell in ((1000, 0), (8, 1 << 24), (8, 400)):
+        got = retrieval.vector_topk(base, df.where("id % 10 = 0"), "id", "v", 4, block, cell=cell).collect()
         m = np.array(vectors, np.float32).astype(float)
         m /= np.linalg.norm(m, axis=1, keepdims=True)
         for q in range(0, 300, 10):
@@ -51,6 +51,17 @@ def test_topk_against_brute_force(spark):
     assert retrieval.vector_topk(base, df.limit(0), "id", "v").count() == 0
 
 
+def test_ties_go_to_the_smaller_key(spark):
+    rows = [(i // 7, i % 7, [1.0, 0.0] if i % 2 else [2.0, 0.0]) for i in range(70)]
+    base = spark.createDataFrame(rows, "page long, part int, v array<float>").repartition(6)
+    asks = spark.createDataFrame([(n, [3.0, 0.0]) for n in range(5)], "page long, v array<float>")
+    for block in (100, 2):
+        got = retrieval.vector_topk(base, asks, "page", "v", 3, block, key=["page", "part"]).collect()
+        for n in range(5):
+            want = [(p, k) for p in range(10) if p != n for k in range(7)][:3]
+            assert [(r["page"], r["part"]) for r in sorted((r for r in got if r["query_id"] == n), key=lambda r: r["rank"])] == want
+
+
 def test_contexts(spark):
     rows = [(0, "red barges on the river"), (1, "red barges on the river today"), (2, "green fields"), (3, None), (100, "green fields far away")]
     df = spark.createDataFrame(rows, "page_id long, text string")

@@ -3,7 +3,7 @@ import json
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from seedloom.operators.shred import INSTRUCTION_FILE, all_nodes, chains, flat_tables, nodes, shred_value
+from seedloom.operators.shred import INSTRUCTION_FILE, all_nodes, chains, flat_tables, nodes, rejects, shred_value
 
 
 def walked(value):
@@ -63,6 +63,10 @@ def test_values_and_links(spark):
     assert {(r["record_id"], r["node_path"]) for r in tables["task"].collect()} == {(1, "t0"), (1, "t2"), (7, "t0")}
     values = {r["node_path"]: r["value"] for r in tables["definition"].where("record_id = 7").collect()}
     assert len(values["t0.d0"]) == 300_000 and values["t0.d1"] == '{"k": 1}'
+    deep = spark.createDataFrame([(8, "[" * 200_000, "x")], df.schema)
+    why = {r["record_id"]: r["reason"] for r in rejects(df.union(deep), "record_id", "raw_json").collect()}
+    assert why == {2: "no text", 3: "blank", 4: "no JSON", 8: why[8]} and why[8] in ("nested too deep", "no JSON")
+    assert rejects(df.limit(0), "record_id", "raw_json").count() == 0
     assert all_nodes(df, "record_id", "raw_json").where("record_id in (2, 3, 4, 5, 6)").count() == 0
     assert all_nodes(df.limit(0), "record_id", "raw_json").count() == 0
     assert all_nodes(df.union(df), "record_id", "raw_json").count() == 2 * all_nodes(df, "record_id", "raw_json").count()
