@@ -20,12 +20,6 @@ def positive_rows(examples: DataFrame) -> DataFrame:
     return examples.where("polarity = 'positive' and example_id is not null")
 
 
-def one_per_id(rows: DataFrame, id_col: str, version: str, value: str) -> DataFrame:
-    """One row per id: the value with the smallest version (null first), ties by the smallest value."""
-    best = F.min(F.struct(F.col(version).alias("v"), F.col(value).alias("x")))["x"]
-    return rows.groupBy(id_col).agg(best.alias(value))
-
-
 def join_counted(rows: DataFrame, keyed: DataFrame, key: str, n_col: str, total: int) -> DataFrame:
     """Inner join of rows with one row per key, safe for keys that hold a large share of ``rows``.
 

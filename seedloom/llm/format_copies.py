@@ -21,15 +21,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seedloom.llm.common import join_counted, one_per_id, positive_rows, words
+from seedloom.llm.common import join_counted, positive_rows, words
+from seedloom.operators.keyed import content_hash, one_per_id
 from seedloom.session import cut, input_splits, spread
 
 #: Bytes per edge of a trie.
 EDGE = 16
-#: Contents that a task's trie holds before it is handed on.
-HELD = 50_000
-#: A bucket of so many contents always fits; with more data the limit is a partition's share.
-FITS = 20_000
+#: Bytes of contents that a trie holds; a task's is handed on then.
+HELD = 32 << 20
+#: A content counts as so many bytes more, for its nodes.
+NODE = 400
+#: A bucket of so many bytes always fits; with more data the limit is a partition's share.
+FITS = 4 << 20
 
 
 class Trie:
@@ -40,7 +43,7 @@ class Trie:
 
     def __init__(self) -> None:
         self.root: dict[bytes, list] = {}
-        self.size = 0
+        self.bytes = 0
 
     def add(self, key: bytes, low: int, n: int) -> None:
         node, at = self.root, 0
@@ -49,7 +52,7 @@ class Trie:
             slot = node.get(edge)  # [rest, smallest id, count] or [inner node]
             if slot is None:
                 node[edge] = [key[at + EDGE :], low, n]
-                self.size += 1
+                self.bytes += len(key) + NODE
                 return
             at += EDGE
             if len(slot) == 3:
@@ -94,13 +97,14 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for key, low, n in zip(batch["canon"], batch["low"], batch["n"], strict=True):
             trie.add(key, low, n)
-        if trie.size > HELD:
+        if trie.bytes > HELD:
             yield pd.DataFrame(list(trie.counts()), columns=["canon", "low", "n"])
             trie = Trie()
     yield pd.DataFrame(list(trie.counts()), columns=["canon", "low", "n"])
 
 
 def _merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Contents of a partition; its buckets are bounded by bytes, so its trie is."""
     trie = Trie()
     for batch in batches:
         for key, low, n in zip(batch["canon"], batch["low"], batch["n"], strict=True):
@@ -112,7 +116,7 @@ def _merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def radix_bucket(rows: DataFrame, partitions: int, total: int) -> Column:
     """The bucket of each row's canonical bytes; splits what does not fit by further bytes.
 
-    At each depth only prefixes with more rows than fit come to the driver; as
+    ``total`` is the bytes of all rows.  At each depth only prefixes with more bytes than fit come to the driver; as
     each holds more than a partition's share, there are at most ``partitions``.
     """
     fits = max(FITS, -(-total // partitions))
@@ -120,7 +124,7 @@ def radix_bucket(rows: DataFrame, partitions: int, total: int) -> Column:
     depth, rest = 8, rows.select("canon")
     while total > fits:
         prefix = F.substring("canon", 1, depth)
-        full = [bytes(r["p"]) for r in rest.groupBy(prefix.alias("p")).count().where(F.col("count") > fits).collect()]
+        full = [bytes(r["p"]) for r in rest.groupBy(prefix.alias("p")).agg(F.sum(F.length("canon") + NODE).alias("n")).where(F.col("n") > fits).collect()]
         # a bucket whose bytes have ended is one content, which is not split
         full = [p for p in full if len(p) == depth]
         levels.append((depth, full))
@@ -144,9 +148,9 @@ def copy_classes(rows: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame, in
     kept = cut(rows.select(F.col(id_col).alias("id"), "canon", F.unhex(F.md5("canon")).alias("digest")), "canonical")
     total = kept.count()
     local = cut(kept.select("canon", F.col("id").cast("long").alias("low"), F.lit(1).cast("long").alias("n")).mapInPandas(_counted, "canon binary, low long, n long"), "contents")
-    contents = local.count()
-    partitions = max(input_splits(spark), contents // 200_000)
-    moved = local.repartition(partitions, radix_bucket(local, partitions, contents))
+    held = local.agg(F.sum(F.length("canon") + NODE)).first()[0] or 0
+    partitions = max(input_splits(spark), -(-held // HELD))
+    moved = local.repartition(partitions, radix_bucket(local, partitions, held))
     return kept.select("id", "digest"), moved.mapInPandas(_merged, "digest binary, low long, n long"), total
 
 
@@ -155,7 +159,7 @@ def collapse(df: DataFrame, id_col: str, fields: list[str], parts: str | None =
 
     Null fields equal only null ones; texts without a word equal each other.
     ``parts`` names a field whose fact and question part may stand in either
-    order.  Rows that share an id count once (the smallest ``version``).  Ids are whole numbers.
+    order.  Rows that share an id count once (``keyed.one_per_id``).  Ids are whole numbers.
     """
     pairs, classes, _ = _classes(df, id_col, fields, parts, version)
     single = pairs.join(classes.select("digest"), "digest", "left_anti").select(F.col("id").alias("first_id"), F.lit(1).cast("long").alias("copies"))
@@ -171,10 +175,10 @@ def copies(df: DataFrame, id_col: str, fields: list[str], parts: str | None = No
 
 def _classes(df: DataFrame, id_col: str, fields: list[str], parts: str | None, version: str | None) -> tuple[DataFrame, DataFrame, int]:
     columns = [parts_in_order(F.col(f)) if f == parts else F.col(f) for f in fields]
-    when = F.col(version) if version else F.lit(0)
+    when = F.col(version) if version else F.lit(None).cast("timestamp")
     source = spread(df.where(F.col(id_col).isNotNull()).select(*dict.fromkeys([id_col, *fields, *([version] if version else [])])))
-    rows = source.select(F.col(id_col).alias("id"), when.alias("version"), fields_canonical(*columns).alias("canon"))
-    pairs, classes, total = copy_classes(one_per_id(rows, "id", "version", "canon"), "id")
+    rows = source.select(F.col(id_col).alias("id"), when.alias("version"), content_hash(*[F.col(f) for f in fields]).alias("said"), fields_canonical(*columns).alias("canon"))
+    pairs, classes, total = copy_classes(one_per_id(rows, "id", F.col("version"), F.col("said"), {"canon": F.col("canon")}), "id")
     return pairs, cut(classes, "classes"), total
 
 

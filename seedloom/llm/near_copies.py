@@ -9,9 +9,9 @@ as many bits as there are runs that only one text holds, so two texts of sizes
 
 Blocks: over all pairs such an index cannot prune near the top, as unrelated
 groups share only a few leading bits.  So each text enters the blocks of its
-``n - ceil(t n) + 1`` rarest runs (by counts over all texts, in hashed buckets of
-fixed number; any one order is right); two texts whose similarity reaches ``t``
-share such a block.
+``n - ceil(t n) + 1`` rarest runs; two texts whose similarity reaches ``t`` share such
+a block, whatever the order of runs is.  Runs are counted exactly, over all texts; the order takes the
+``LISTED`` most frequent ones by their counts, after all others by their hashes.
 
 Index: in each block the fingerprints are sorted by Gray rank.  Up to ``FAN``
 neighbours make a leaf and up to ``FAN`` nodes an upper node; a node holds the
@@ -21,14 +21,16 @@ group once they exceed what its sizes allow.  What is left is checked on the run
 
 A block of more than ``DENSE`` texts is not searched at once: its texts are linked
 inside overlapping stretches in Gray order, checked on the spot, and linked
-texts are not compared again; then all texts outside the block's largest class
-are compared with all others, piece by piece.
+texts are not compared again.  Then the block's largest class is compared with all else in it, and taken out,
+class after class.  One minus the similarity is a metric: the distances of both sides to one text of the class
+tell which of them can be links at all, so a class that is unlike another is hardly ever compared with it.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -37,12 +39,17 @@ from pyspark.sql import functions as F
 
 from seedloom.llm.common import join_counted, positive_rows, words
 from seedloom.llm.components import components
+from seedloom.operators.keyed import content_hash, one_per_id
 from seedloom.session import cut, input_splits, spread
 
 FAN = 8
 DENSE = 512
-#: Hashed buckets for the counts of runs.
-COUNTS = 1 << 20
+#: Frequent runs that are listed with their counts, in 12 bytes each.
+LISTED = 1 << 20
+#: Distinct runs that a task counts before it hands their counts on, and pairs of entries that are searched at once.
+HELD, PAIRS = 1 << 20, 1 << 20
+#: Width of a ring of distances.
+RING = 0.05
 _BITS = 128
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -194,38 +201,80 @@ def _prefix(sizes: np.ndarray, threshold: float) -> np.ndarray:
     return sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + 1
 
 
-def run_counts(texts: DataFrame, width: int) -> np.ndarray:
-    """Texts per hashed bucket of runs, over all texts; ``COUNTS`` numbers, whatever the data."""
-    piece = COUNTS >> 6
+@dataclass(frozen=True)
+class Frequent:
+    """The most frequent runs, sorted, and the texts that hold each; all runs not listed are held by fewer than ``least``."""
+
+    run: np.ndarray
+    texts: np.ndarray
+    least: int
+
+    def of(self, run: np.ndarray) -> np.ndarray:
+        """Texts that hold each run; 0 for a run that is not listed."""
+        if not len(self.run):
+            return np.zeros(len(run), np.int64)
+        at = np.minimum(np.searchsorted(self.run, run), len(self.run) - 1)
+        return np.where(self.run[at] == run, self.texts[at], 0)
+
+
+def frequent_runs(texts: DataFrame, width: int, listed: int = LISTED) -> Frequent:
+    """Exact counts of all runs by key, of which at most ``listed`` leave the executors."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        runs, total = Runs(width), np.zeros(COUNTS, np.int64)
+        runs = Runs(width)
+        held: list[np.ndarray] = []
+        size = 0
+        known, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
             _, run = runs.of(batch["words"])
-            total += np.bincount((run & np.uint64(COUNTS - 1)).astype(np.int64), minlength=COUNTS)
-        if total.any():
-            yield pd.DataFrame({"piece": np.arange(64), "counts": [total[i * piece : (i + 1) * piece].astype(np.int32).tobytes() for i in range(64)]})
-
-    def add(frame: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(c, np.int32).astype(np.int64) for c in frame["counts"])
-        return pd.DataFrame({"piece": frame["piece"][:1], "counts": [np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()]})
-
-    # tasks are merged in groups first, so that no task gets one piece from every task
-    counted = texts.select("words").mapInPandas(count, "piece int, counts binary").withColumn("part", F.spark_partition_id() % 32)
-    schema = "piece int, counts binary"
-    once = counted.groupBy("piece", "part").applyInPandas(lambda f: add(f[["piece", "counts"]]), schema)
-    out = np.zeros(COUNTS, np.int32)
-    for r in once.groupBy("piece").applyInPandas(add, schema).collect():
-        out[r["piece"] * piece : (r["piece"] + 1) * piece] = np.frombuffer(r["counts"], np.int32)
-    return out
+            held.append(run.view(np.int64))
+            size += len(run)
+            if size > HELD:
+                known, n = _added(known, n, held)
+                held, size = [], 0
+                if len(known) > HELD:
+                    yield pd.DataFrame({"run": known, "n": n})
+                    known, n = known[:0], n[:0]
+        known, n = _added(known, n, held)
+        yield pd.DataFrame({"run": known, "n": n})
+
+    counted = texts.select("words").mapInPandas(count, "run long, n long")
+    shared = cut(counted.groupBy("run").agg(F.sum("n").alias("n")).where("n > 1"), "runs")
+    few = F.least("n", F.lit(1 << 16)).alias("n")
+    per = sorted(((r["n"], r["k"]) for r in shared.select(few).groupBy("n").agg(F.count("*").alias("k")).collect()), reverse=True)
+    least, total = (1 << 16) + 1, 0
+    for n, k in per:
+        if total + k > listed:
+            break
+        least, total = n, total + k
+    if total == sum(k for _, k in per):
+        least = 2
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                yield pd.DataFrame({"run": [batch["run"].to_numpy(np.int64).tobytes()], "n": [np.minimum(batch["n"].to_numpy(), 2**31 - 1).astype(np.int32).tobytes()]})
+
+    blobs = shared.where(F.col("n") >= least).mapInPandas(pack, "run binary, n binary").collect()
+    run = np.concatenate([np.frombuffer(r["run"], np.int64) for r in blobs] or [np.zeros(0, np.int64)])
+    n = np.concatenate([np.frombuffer(r["n"], np.int32) for r in blobs] or [np.zeros(0, np.int32)])
+    order = np.argsort(run)
+    return Frequent(run[order], n[order], least)
+
 
+def _added(known: np.ndarray, n: np.ndarray, runs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts by run with one more for each of some runs."""
+    new, more = np.unique(np.concatenate([*runs, known[:0]]), return_counts=True)
+    both, at = np.unique(np.concatenate([known, new]), return_inverse=True)
+    return both, np.bincount(at, np.concatenate([n, more]), len(both)).astype(np.int64)
 
-_MEMBER = "token long, tid long, size int, f0 long, f1 long, often int"
 
+_MEMBER = "token long, tid long, size int, f0 long, f1 long, often long"
 
-def memberships(texts: DataFrame, counts: np.ndarray, width: int, threshold: float) -> DataFrame:
-    """One row per text and block it enters, with size, fingerprint and the block's count by hashed bucket."""
-    table = texts.sparkSession.sparkContext.broadcast(counts)
+
+def memberships(texts: DataFrame, frequent: Frequent, width: int, threshold: float) -> DataFrame:
+    """One row per text and block it enters, with size, fingerprint and the block's number of texts (0 if it is not listed)."""
+    table = texts.sparkSession.sparkContext.broadcast(frequent)
 
     def enter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         runs = Runs(width)
@@ -234,16 +283,16 @@ def memberships(texts: DataFrame, counts: np.ndarray, width: int, threshold: flo
             if not len(row):
                 continue
             rows, sizes, first, second = fingerprints(row, run)
-            often = table.value[(run & np.uint64(COUNTS - 1)).astype(np.int64)]
+            often = table.value.of(run.view(np.int64))
             order = np.lexsort((run, often, row))
             at = np.repeat(np.arange(len(rows)), sizes)  # rows are sorted, so the order within a row moves no row
             place = _count_up(sizes)
             keep = place < _prefix(sizes, threshold)[at]
             token, often = run[order][keep], often[order][keep]
             at = at[keep]
-            shared = often > 1  # a bucket of one text holds no pair
-            at, token, often = at[shared], token[shared], often[shared]
-            yield pd.DataFrame({"token": token.view(np.int64), "tid": batch["tid"].to_numpy()[rows[at]], "size": sizes[at].astype(np.int32), "f0": first[at].view(np.int64), "f1": second[at].view(np.int64), "often": often.astype(np.int32)})
+            if table.value.least == 2:  # a run that is not listed is held by one text, which is no pair
+                at, token, often = at[often > 1], token[often > 1], often[often > 1]
+            yield pd.DataFrame({"token": token.view(np.int64), "tid": batch["tid"].to_numpy()[rows[at]], "size": sizes[at].astype(np.int32), "f0": first[at].view(np.int64), "f1": second[at].view(np.int64), "often": often})
 
     return texts.select("tid", "words").mapInPandas(enter, _MEMBER)
 
@@ -290,16 +339,21 @@ def block_pairs(members: DataFrame, threshold: float, partitions: int, hot: int,
             dense = lengths > dense_from
             if dense.any():
                 yield pd.DataFrame({"a": token[starts[dense]], "b": None, "n": lengths[dense]}).astype({"b": "Int64"})
-            keep = np.repeat((lengths > 1) & ~dense, lengths)
+            search_in = (lengths > 1) & ~dense
+            keep = np.repeat(search_in, lengths)
             if not keep.any():
                 continue
-            frame = frame[keep]
-            frame, block, sizes, first, second = _sorted_arrays(frame, frame["token"].to_numpy())
-            i, j, _ = GrayIndex(block, sizes, first, second).pairs(threshold)
-            tid = frame["tid"].to_numpy()
-            a, b = np.minimum(tid[i], tid[j]), np.maximum(tid[i], tid[j])
-            if len(a):
-                yield pd.DataFrame({"a": a, "b": b, "n": 0}).drop_duplicates()
+            frame, lengths = frame[keep], lengths[search_in]
+            # whole blocks, so many at once that their pairs stay few
+            lot = np.repeat(np.cumsum(lengths * lengths) // PAIRS, lengths)
+            for part in np.split(np.arange(len(frame)), np.flatnonzero(lot[1:] != lot[:-1]) + 1):
+                entries = frame.iloc[part]
+                entries, block, sizes, first, second = _sorted_arrays(entries, entries["token"].to_numpy())
+                i, j, _ = GrayIndex(block, sizes, first, second).pairs(threshold)
+                tid = entries["tid"].to_numpy()
+                a, b = np.minimum(tid[i], tid[j]), np.maximum(tid[i], tid[j])
+                if len(a):
+                    yield pd.DataFrame({"a": a, "b": b, "n": 0}).drop_duplicates()
 
     moved = members.where(F.col("often") <= hot).drop("often").repartition(partitions, "token").sortWithinPartitions("token")
     return moved.mapInPandas(search, "a long, b long, n long")
@@ -425,22 +479,72 @@ def _rank_columns() -> list[Column]:
     return [fold(F.col("f0")).bitwiseXOR(least).alias("g0"), F.when(odd, F.bitwise_not(low)).otherwise(low).bitwiseXOR(least).alias("g1")]
 
 
+def distances(rows: DataFrame, width: int) -> DataFrame:
+    """Adds ``ring``: the distance between ``words`` and ``pivot_words``, one minus their similarity, in steps of ``RING``; drops both texts."""
+    kept = [f for f in rows.schema.fields if f.name not in ("words", "pivot_words")]
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        runs = Runs(width)
+        for batch in batches:
+            pivots = pd.unique(batch["pivot_words"])
+            row, run = runs.of(pd.Series([*batch["words"], *pivots]))
+            cuts = np.searchsorted(row, np.arange(len(batch) + len(pivots) + 1))
+            of = {w: run[cuts[len(batch) + k] : cuts[len(batch) + k + 1]] for k, w in enumerate(pivots)}
+            far = np.ones(len(batch))
+            for k, w in enumerate(batch["pivot_words"]):
+                x, y = run[cuts[k] : cuts[k + 1]], of[w]
+                both = np.intersect1d(x, y, assume_unique=True).size
+                far[k] = 1 - both / (len(x) + len(y) - both)
+            yield batch[[f.name for f in kept]].assign(ring=np.floor(far / RING).astype(np.int32))
+
+    return rows.mapInPandas(measure, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + ", ring int")
+
+
 def rest_links(members: DataFrame, texts: DataFrame, comps: DataFrame, width: int, threshold: float, partitions: int, piece: int = DENSE) -> DataFrame:
-    """Links between a dense block's largest class and all else in it, and within that rest.
+    """Links between the classes of each dense block.
 
-    Both sides are cut into pieces of about ``piece``; each pair of pieces is one group.
+    Round after round the largest class of each block is compared with all else in it and, if it has more than ``piece`` texts, taken out;
+    a block without so large a class is compared as a whole.  Only rows whose distances to one
+    text of the class differ by no more than a link's can be linked: rows lie in rings of distance, each in pieces of
+    about ``piece``, and each pair of pieces of rings that are near enough is one group.
     """
-    own = members.join(comps.withColumnsRenamed({"u": "tid", "root": "_root"}), "tid", "left").withColumn("comp", F.coalesce("_root", "tid")).drop("_root")
+    own = members.join(comps.withColumnsRenamed({"u": "tid", "root": "_root"}), "tid", "left").withColumn("comp", F.coalesce("_root", "tid")).select("token", "tid", "size", "f0", "f1", "comp")
     own = cut(own, "dense")
-    per = own.groupBy("token", "comp").agg(F.count("*").alias("n"))
-    top = per.groupBy("token").agg(F.max(F.struct("n", (-F.col("comp")).alias("c"))).alias("top"), F.sum("n").alias("m"))
-    top = top.where("m > top.n").select("token", "m", (F.col("m") - F.col("top.n")).alias("rest"), (-F.col("top.c")).alias("largest"))
-    top = top.withColumns({"pieces": F.ceil(F.col("m") / piece).cast("int"), "asked": F.ceil(F.col("rest") / piece).cast("int")})
-    rows = own.join(top, "token").join(texts.select("tid", "words"), "tid")
-    mine = rows.withColumns({"piece": F.pmod(F.xxhash64("tid"), "pieces").cast("int"), "ask": F.explode(F.sequence(F.lit(0), F.col("asked") - 1)), "asks": F.lit(False)})
-    asks = rows.where("comp <> largest").withColumns({"ask": F.pmod(F.xxhash64("tid"), "asked").cast("int"), "piece": F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)), "asks": F.lit(True)})
-    columns = ["token", "piece", "ask", "tid", "comp", "size", "f0", "f1", "words", "asks"]
-    key = ["token", "piece", "ask"]
+    reach = math.ceil((1 - threshold) / RING + 1e-9)
+    found: list[DataFrame] = []
+    while True:
+        per = own.groupBy("token", "comp").agg(F.count("*").alias("n"), F.min("tid").alias("pivot"))
+        top = per.groupBy("token").agg(F.max(F.struct("n", (-F.col("comp")).alias("c"), "pivot")).alias("top"), F.sum("n").alias("m"), F.count("*").alias("classes")).where("classes > 1")
+        top = top.select("token", "m", (-F.col("top.c")).alias("largest"), (F.col("top.n") > piece).alias("big"), F.col("top.pivot").alias("pivot"))
+        top = cut(top.join(texts.select(F.col("tid").alias("pivot"), F.col("words").alias("pivot_words")), "pivot").drop("pivot"), "tops")
+        total = top.agg(F.sum("m")).first()[0]
+        if not total:
+            break
+        rows = join_counted(own, top, "token", "m", own.count()).join(texts.select("tid", "words"), "tid")
+        rows = cut(distances(rows, width), "rings")
+        found.append(_between(rows, texts, width, threshold, partitions, piece, reach, total))
+        own = cut(rows.where("big and comp <> largest").select("token", "tid", "size", "f0", "f1", "comp"), "dense")
+    out = texts.sparkSession.createDataFrame([], "a long, b long")
+    for more in found:
+        out = out.unionByName(more)
+    return out
+
+
+def _between(rows: DataFrame, texts: DataFrame, width: int, threshold: float, partitions: int, piece: int, reach: int, total: int) -> DataFrame:
+    """Links of one round, between the rows of the largest class (all rows where it is small) and those outside it."""
+    sides = F.when(F.col("comp") == F.col("largest"), F.array(F.lit(False))).when(F.col("big"), F.array(F.lit(True))).otherwise(F.array(F.lit(False), F.lit(True)))
+    rows = rows.withColumn("asks", F.explode(sides)).withColumn("key", F.concat_ws(":", "token", "ring", F.col("asks").cast("int")))
+    per = cut(rows.groupBy("key", "token", "ring", "asks").agg(F.count("*").alias("n")), "rings-of")
+    other = per.select("token", F.col("ring").alias("to"), (~F.col("asks")).alias("asks"), F.ceil(F.col("n") / piece).cast("int").alias("pieces"))
+    near = per.join(other, ["token", "asks"]).where(F.abs(F.col("ring") - F.col("to")) <= reach)
+    near = near.groupBy("key", "n").agg(F.collect_list(F.struct("to", "pieces")).alias("near"))
+    mine = join_counted(rows, near.withColumn("own", F.ceil(F.col("n") / piece).cast("int")), "key", "n", 2 * total)
+    mine = mine.withColumn("p", F.pmod(F.xxhash64("tid"), "own").cast("int"))
+    spread_out = mine.select("token", "tid", "size", "f0", "f1", "comp", "asks", "ring", "p", F.explode("near").alias("x")).select("*", F.col("x.to").alias("to"), F.explode(F.sequence(F.lit(0), F.col("x.pieces") - 1)).alias("q")).drop("x")
+    ends = {"ring_a": ("ring", "to"), "piece_a": ("p", "q"), "ring_b": ("to", "ring"), "piece_b": ("q", "p")}
+    key = ["token", *ends]
+    placed = spread_out.withColumns({n: F.when(F.col("asks"), F.col(b)).otherwise(F.col(a)) for n, (a, b) in ends.items()}).join(texts.select("tid", "words"), "tid")
+    placed = placed.select(*key, "tid", "comp", "size", "f0", "f1", "words", "asks")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         runs = Runs(width)
@@ -448,8 +552,7 @@ def rest_links(members: DataFrame, texts: DataFrame, comps: DataFrame, width: in
             for _, part in frame.groupby(key, sort=False):
                 yield pd.DataFrame(_linked(part, runs, threshold, True), columns=["a", "b"])
 
-    moved = mine.select(columns).unionByName(asks.select(columns)).repartition(partitions, *key).sortWithinPartitions(*key)
-    return moved.mapInPandas(compare, "a long, b long")
+    return placed.repartition(partitions, *key).sortWithinPartitions(*key).mapInPandas(compare, "a long, b long")
 
 
 # --- the operator -----------------------------------------------------------------
@@ -462,27 +565,26 @@ def near_classes(df: DataFrame, id_col: str, text_col: str, version: str | None
     the similarity of their distinct runs of ``width`` words reaches ``threshold``, and
     a group is all that links connect.  Null texts, texts without a word and null
     ids are in no group; a text shorter than a run is linked to none but its copies.
-    Of rows that share an id the one with the smallest version counts.  Ids are whole numbers.
+    Of rows that share an id one counts (``keyed.one_per_id``), whether it has a text or not.  Ids are whole numbers.
     A block of more than ``dense_from`` texts takes the dense path; the result is the same.
     """
-    spark = df.sparkSession
-    source = spread(df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(*dict.fromkeys([id_col, text_col, *([version] if version else [])])))
-    when = F.col(version) if version else F.lit(0)
-    worded = source.select(F.col(id_col).cast("long").alias("id"), when.alias("version"), words(F.col(text_col)).alias("words")).withColumn("key", F.unhex(F.md5("words")))
-    rows = worded.groupBy("id").agg(F.min(F.struct(F.col("version").alias("v"), F.col("words") != "", "key")).alias("x")).select("id", F.col("x.key").alias("key"))
+    source = spread(df.where(F.col(id_col).isNotNull()).select(*dict.fromkeys([id_col, text_col, *([version] if version else [])])))
+    when = F.col(version) if version else F.lit(None).cast("timestamp")
+    worded = source.select(F.col(id_col).cast("long").alias("id"), when.alias("version"), content_hash(F.col(text_col)).alias("said"), words(F.col(text_col)).alias("words")).withColumn("key", F.unhex(F.md5("words")))
+    rows = one_per_id(worded, "id", F.col("version"), F.col("said"), {"key": F.col("key")})
     rows = cut(rows.where(F.col("key") != F.unhex(F.md5(F.lit("")))), "rows")
     total = rows.count()
     held = rows.groupBy("key").agg(F.min("id").alias("tid"), F.count("*").alias("n"))
-    texts = cut(worded.groupBy("key").agg(F.first("words").alias("words")).join(held, "key"), "texts")
+    texts = cut(worded.where("key is not null").groupBy("key").agg(F.first("words").alias("words")).join(held, "key"), "texts")
 
-    counts = run_counts(texts, width)
-    partitions = max(input_splits(spark), total // 100_000)
+    frequent = frequent_runs(texts, width)
+    partitions = max(input_splits(df.sparkSession), total // 100_000)
     hot = max(50_000, total // partitions)
-    members = memberships(texts, counts, width, threshold)
+    members = memberships(texts, frequent, width, threshold)
     found = cut(block_pairs(members, threshold, partitions, hot, dense_from), "pairs")
     links = verified(found.where("b is not null").select("a", "b").distinct(), texts, width, threshold)
     dense = found.where("b is null").select(F.col("a").alias("token")).distinct()
-    if int(counts.max(initial=0)) > hot or not dense.isEmpty():
+    if int(frequent.texts.max(initial=0)) > hot or not dense.isEmpty():
         many = cut(members.where(F.col("often") <= hot).join(dense, "token", "left_semi").unionByName(members.where(F.col("often") > hot)), "dense-members")
         links = cut(links.unionByName(dense_links(many, texts, width, threshold, partitions, dense_from)), "links")
         rest = rest_links(many, texts, components(links), width, threshold, partitions, dense_from)

@@ -33,7 +33,8 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seedloom.llm.common import join_counted, one_per_id, positive_rows
+from seedloom.llm.common import join_counted, positive_rows
+from seedloom.operators.keyed import content_hash, one_per_id
 from seedloom.session import cut, spread
 
 ROWS_PER_LANGUAGE = 150
@@ -399,13 +400,14 @@ def defects(df: DataFrame, documents: DataFrame, id_col: str, version: str | Non
     Defects, in the order in which they are looked for: ``empty``, ``refusal``, ``copy``, ``truncated``,
     ``language``.  A null input is compared with nothing, so only the first two and a
     broken end can be found.  A null, blank or ``undefined`` explanation is no defect.  Of rows that share
-    an id the one with the smallest version counts, ties by the smallest content.  ``documents`` gives the
+    an id one counts (``keyed.one_per_id``).  ``documents`` gives the
     labelled sample (doc_id, text, lang); without labels no language is named.
     """
     kind = df.schema[id_col].dataType.simpleString()
     when = F.col(version) if version else F.lit(None)
-    rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), when.cast("timestamp").alias("version"), F.struct("input", "output", "explanation").alias("pair"))
-    pairs = spread(cut(one_per_id(rows, "id", "version", "pair").select("id", "pair.*"), "pairs"))
+    rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), when.cast("timestamp").alias("version"), "input", "output", "explanation")
+    parts = {c: F.col(c) for c in ("input", "output", "explanation")}
+    pairs = spread(cut(one_per_id(rows, "id", F.col("version"), content_hash(*parts.values()), parts), "pairs"))
     names, first = first_languages(documents, "text", "lang", "doc_id")
     model = df.sparkSession.sparkContext.broadcast(fit(pairs.select("input", "output", "explanation"), names, first))
 

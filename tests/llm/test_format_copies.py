@@ -93,7 +93,7 @@ def test_trie_counts(keys):
         trie.add(k, i, 1)
         low, n = want.get(k, (i, 0))
         want[k] = (low, n + 1)
-    assert {k: (low, n) for k, low, n in trie.counts()} == want and trie.size == len(want)
+    assert {k: (low, n) for k, low, n in trie.counts()} == want and trie.bytes == sum(len(k) + fc.NODE for k in want)
 
 
 def test_buckets_fit_or_hold_one_content(spark, monkeypatch):

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -72,6 +73,45 @@ def test_one_family_of_a_third_of_all_rows(spark):
         assert sorted(map(tuple, nc.near_copies(df, "id", "t", None, 3, 0.55, dense).collect())) == want
 
 
+@pytest.mark.parametrize("listed", [0, 3, 40])
+def test_groups_do_not_depend_on_the_list_of_runs(spark, monkeypatch, listed):
+    rows = corpus(8, 40, 8)
+    monkeypatch.setattr(nc, "frequent_runs", lambda texts, width, real=nc.frequent_runs: real(texts, width, listed))
+    got = nc.near_copies(spark.createDataFrame(rows, "id long, t string"), "id", "t", None, 3, 0.55, 16)
+    assert sorted(map(tuple, got.collect())) == brute(rows, 3, 0.55)
+
+
+def test_runs_are_counted_exactly(spark):
+    rows = [(i, f"a b c d{i % 3} e{i % 7}") for i in range(50)]
+    texts = spark.createDataFrame(rows, "tid long, words string").repartition(6)
+    got = nc.frequent_runs(texts, 3)
+    _, run = nc.Runs(3).of(pd.Series([t for _, t in rows]))
+    one, n = np.unique(run.view(np.int64), return_counts=True)
+    assert got.least == 2 and dict(zip(got.run, got.texts, strict=True)) == {a: b for a, b in zip(one, n, strict=True) if b > 1}
+    few = nc.frequent_runs(texts, 3, 5)
+    assert len(few.run) <= 5 and all(b < few.least for a, b in zip(one, n, strict=True) if a not in few.run)
+
+
+def test_unlike_classes_in_one_block(spark):
+    """Several large classes, and texts between them, that share one rare run."""
+    rng = random.Random(3)
+    rows = []
+    for f in range(4):
+        base = [f"w{f}x{k}" for k in range(14)]
+        for _ in range(90):
+            rows.append((len(rows), edited(rng, base, 2) + " one rare run"))
+    rows += [(len(rows) + i, " ".join(f"w{i % 4}x{k}" for k in range(7)) + " " + " ".join(f"w{(i + 1) % 4}x{k}" for k in range(7)) + f" one rare run n{i}") for i in range(40)]
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    want = brute(rows, 3, 0.55)
+    for dense in (20, 60):
+        assert sorted(map(tuple, nc.near_copies(spark.createDataFrame(rows, "id long, t string"), "id", "t", None, 3, 0.55, dense).collect())) == want
+
+
+def test_the_earliest_delivery_counts(spark):
+    rows = [(1, None, 1), (1, "one two three", 2), (2, "one two three", 1), (3, "one two three!", 1)]
+    assert [tuple(r) for r in nc.near_copies(spark.createDataFrame(rows, "id long, t string, at int"), "id", "t", "at", 3, 0.55).collect()] == [(2, 3)]
+
+
 def test_edge_cases(spark):
     long = " ".join(f"w{k}" for k in range(30_000))
     rows = [(1, None), (2, ""), (3, "..."), (4, "one two"), (5, "One, two!"), (6, "one two"), (7, "one"), (8, long), (9, long + " end"), (None, "one two"), (5, "One, two!"), (10, "a b c"), (11, "a b c d")]
