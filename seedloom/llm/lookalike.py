@@ -5,6 +5,9 @@ patterns), the mapped values are grouped under the accent-sensitive,
 case-sensitive collation ``UNICODE``, under which an accent written apart
 equals one written together, and each class's first member gives its form.  Only values
 that share their plain characters are compared; all others are alone in their class.
+
+Letters of other alphabets are mapped by Unicode's own table of confusable characters, as the ICU library of the JVM
+holds it, but for those in ``TOLD_APART``; widths and ligatures by their compatibility forms.
 """
 
 from __future__ import annotations
@@ -13,34 +16,49 @@ import json
 import unicodedata
 from functools import cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seedloom.llm.common import join_counted
 from seedloom.session import cut, spread
 
-# Letters and marks of other alphabets with the Latin character drawn alike.
-LOOKALIKES = {
-    # Cyrillic capitals
-    "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "Ү": "Y", "Ԛ": "Q", "Ԝ": "W", "Ӏ": "I", "Ԍ": "G",
-    # Cyrillic small letters
-    "а": "a", "е": "e", "ѕ": "s", "і": "i", "ј": "j", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ԁ": "d", "һ": "h", "ԛ": "q", "ԝ": "w", "ӏ": "l", "ү": "y", "ѵ": "v",
-    # Greek capitals
-    "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J",
-    # Greek small letters
-    "α": "a", "γ": "y", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "σ": "o", "υ": "u", "χ": "x", "ϲ": "c", "ϳ": "j",
-    # Armenian letters
-    "Լ": "L", "Օ": "O", "Տ": "S", "Ս": "U", "հ": "h", "ո": "n", "ս": "u", "օ": "o", "ց": "g", "զ": "q", "յ": "j",
-    # Latin letters of phonetic and other writing
-    "ɡ": "g", "ı": "i", "ɑ": "a", "ɩ": "i", "ʋ": "v", "ᴄ": "c", "ᴏ": "o", "ᴠ": "v", "ᴡ": "w", "ᴢ": "z", "ǀ": "l", "ꜱ": "s",
-    # Marks
+#: Alphabets with letters drawn as Latin ones are.  Which letters these are comes from Unicode's table of confusable characters, which ICU holds.
+SCRIPTS = ("GREEK", "CYRILLIC", "ARMENIAN", "CHEROKEE", "COPTIC", "LISU")
+# Letters that this table takes for Latin ones, but that a reader tells from them: without a dot, open or closed otherwise, with a tail, of another height.
+TOLD_APART = "ıɩιꙇσαγυгᴦⲅꮁЬҽѡառքզգӏ"
+
+# Latin letters of phonetic writing and marks with the character drawn alike.
+ALIKE = {
+    "ɡ": "g", "ɑ": "a", "ᴄ": "c", "ᴏ": "o", "ᴠ": "v", "ᴡ": "w", "ᴢ": "z", "ꜱ": "s", "ǀ": "l",
     "‐": "-", "‑": "-", "˗": "-", "։": ":", "׃": ":", "․": ".", "‚": ",", "ʹ": "'", "⁄": "/", "∕": "/", "՝": "`",
 }
 
 #: Line ends differ from blanks; every other kind of blank is one blank.
 BLANKS = "\t               　"
-#: Characters that do not show: format characters, variation selectors, fillers, controls but for tab and line ends.
-UNSEEN = r"[\p{Cf}͏ᅟᅠ឴឵᠋-᠏ㅤ︀-️ﾠ\x{E0100}-\x{E01EF}\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]"
+#: Characters that do not show: format characters but for the signs that enclose numbers, variation selectors, fillers, controls but for tab and line ends.
+_SIGNS = r"\x{600}-\x{605}\x{6DD}\x{70F}\x{890}\x{891}\x{8E2}\x{110BD}\x{110CD}"
+UNSEEN = rf"[[\p{{Cf}}&&[^{_SIGNS}]]͏ᅟᅠ឴឵᠋-᠏ㅤ︀-️ﾠ\x{{E0100}}-\x{{E01EF}}\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]"
+
+
+@cache
+def lookalikes() -> dict[str, str]:
+    """Letters of ``SCRIPTS`` with the Latin letter of the same skeleton, of the same case where both cases share it; and ``ALIKE``.
+
+    The skeletons come from the ICU library of the session's JVM, in one call on the driver.
+    """
+    letters = [c for c in map(chr, range(0x80, 0x20000)) if unicodedata.category(c) in ("Lu", "Ll", "Lo") and unicodedata.name(c, "").split(" ")[0] in SCRIPTS and not unicodedata.decomposition(c) and c not in TOLD_APART]
+    latin = [c for c in map(chr, range(0x41, 0x7B)) if c.isalpha()]
+    session = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+    checker = session._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+    skeletons = checker.getSkeleton("\n".join([*latin, *letters])).split("\n")
+    of: dict[str, list[str]] = {}
+    for c, k in zip(latin, skeletons, strict=False):
+        of.setdefault(k, []).append(c)
+    out = dict(ALIKE)
+    for c, k in zip(letters, skeletons[len(latin) :], strict=True):
+        if k in of:
+            out[c] = next((x for x in of[k] if x.islower() == (unicodedata.category(c) == "Ll")), of[k][0])
+    return out
 
 
 @cache
@@ -51,6 +69,7 @@ def character_maps() -> tuple[dict[str, str], dict[str, str]]:
     compatibility form; raised, lowered, circled and styled ones stay. A letter
     with an accent is mapped as its bare letter is.
     """
+    alike = lookalikes()
     one = {b: " " for b in BLANKS}
     several: dict[str, str] = {}
     for code in range(0x80, 0x2FA20):
@@ -64,7 +83,7 @@ def character_maps() -> tuple[dict[str, str], dict[str, str]]:
             if " " in form or any(unicodedata.combining(c) for c in form):
                 form = ch
         apart = unicodedata.normalize("NFD", form)
-        mapped = unicodedata.normalize("NFC", "".join(LOOKALIKES.get(c, c) for c in apart))
+        mapped = unicodedata.normalize("NFC", "".join(alike.get(c, c) for c in apart))
         if mapped != ch:
             (one if len(mapped) == 1 else several)[ch] = mapped
     return one, several
@@ -99,27 +118,27 @@ def look_classes(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
     spark = df.sparkSession
     source = spread(df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(*dict.fromkeys([id_col, text_col])))
     rows = with_looks(source.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text")), "_text").select("id", "form")
-    # what two values that the collation holds equal always share: their plain characters that bear no accent
-    bare = F.unhex(F.md5(F.regexp_replace("form", r"[\x00-\x7F]?\p{M}+|[^\x00-\x7F]", "")))
+    # what two values that the collation holds equal always share: their plain characters that bear no accent; and the signs that it does not see, but a reader does
+    bare = F.unhex(F.md5(F.regexp_replace("form", rf"[\x00-\x7F]?\p{{M}}+|[^\x00-\x7F{_SIGNS}]", "")))
     rows = cut(rows.withColumns({"digest": F.unhex(F.md5("form")), "bare": bare}), "looks")
-    rows.createOrReplaceTempView("_seedloom_looks")
     # equal mapped values first, so that a value held by many rows reaches the collation once
-    values = spark.sql("SELECT digest, first(bare) AS bare, first(form) AS form, min(id) AS low, count(*) AS n FROM _seedloom_looks GROUP BY digest")
-    values = cut(values, "look-values")
-    values.createOrReplaceTempView("_seedloom_look_values")
+    values = cut(spark.sql("SELECT digest, first(bare) AS bare, first(form) AS form, min(id) AS low, count(*) AS n FROM {rows} GROUP BY digest", rows=rows), "look-values")
+    shared = values.groupBy("bare").agg(F.count("*").alias("v")).where("v > 1")
+    several = cut(join_counted(values, shared, "bare", "v", values.count()), "look-several")
+    alone = values.join(several.select("digest"), "digest", "left_anti")
     classes = spark.sql(
         """
-        WITH shared AS (SELECT bare FROM _seedloom_look_values GROUP BY bare HAVING count(*) > 1),
-        several AS (SELECT v.* FROM _seedloom_look_values v LEFT SEMI JOIN shared s ON v.bare = s.bare),
-        classes AS (
+        WITH classes AS (
           SELECT bare, form COLLATE UNICODE AS look, min(low) AS first_id, min_by(form, low) AS chosen, sum(n) AS members
-          FROM several GROUP BY bare, form COLLATE UNICODE
+          FROM {several} GROUP BY bare, form COLLATE UNICODE
         )
         SELECT v.digest, c.first_id, c.chosen AS form, c.members, v.n
-        FROM several v JOIN classes c ON v.bare = c.bare AND v.form COLLATE UNICODE = c.look
+        FROM {several} v JOIN classes c ON v.bare = c.bare AND v.form COLLATE UNICODE = c.look
         UNION ALL
-        SELECT v.digest, v.low, v.form, v.n, v.n FROM _seedloom_look_values v LEFT ANTI JOIN shared s ON v.bare = s.bare
-        """
+        SELECT digest, low, form, n, n FROM {alone}
+        """,
+        several=several,
+        alone=alone,
     )
     return rows, classes, rows.count()
 

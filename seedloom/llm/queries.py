@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from seedloom.llm import format_copies, lookalike, mixing, near_copies, packing, pair_defects
 from seedloom.llm.sql import ORACLES
-from seedloom.session import table
+from seedloom.session import cut, table
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -31,6 +31,10 @@ def p6_room(spark: SparkSession, d: str) -> DataFrame:
     return packing.room(p6_pack(spark, d))
 
 
+def p6_check(spark: SparkSession, d: str) -> DataFrame:
+    return packing.check(cut(p6_pack(spark, d), "placed"), "doc_id")
+
+
 def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return mixing.mix(table(spark, d, "documents"), "doc_id", "text", "source", table(spark, d, "mix_target"))
 
@@ -43,6 +47,10 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixed(spark, d)[1]
 
 
+def p7_check(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.check(*_mixed(spark, d), table(spark, d, "documents"), "doc_id", "source", 0.001)
+
+
 def p8_form(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.one_form(table(spark, d, "documents"), "doc_id", "text")
 
@@ -57,7 +65,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_collapsed, p3_found, p4_found, p6_pack, p6_room, p7_mix, p7_shares, p8_found, p8_form)}
+    return {f.__name__: f for f in (p2_found, p2_collapsed, p3_found, p4_found, p6_pack, p6_room, p6_check, p7_mix, p7_shares, p7_check, p8_found, p8_form)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -28,8 +28,8 @@ c AS (SELECT start AS tid, min(node) AS root FROM r GROUP BY start),
 m AS (SELECT example_id, coalesce(root, t.tid) AS first_id FROM w JOIN t USING (t) LEFT JOIN c ON c.tid = t.tid)"""
 
 # Characters with a look-alike that occur in such texts, in Unicode order, and what they look like.
-_FROM = "µΑΒΕΖΗΙΚΜΝΟΡΤΥΧαγικνορσυχЅІЈАВЕКМНОРСТУХаеорсухѕіјɡ‐‑K"
-_TO = "μABEZHIKMNOPTYXayikvopouxSIJABEKMHOPCTYXaeopcyxsijg--K"
+_FROM = "µΑΒΕΖΗΙΚΜΝΟΡΤΥΧνορЅІЈАВЕКМНОРСТУХаеорсухѕіјɡ‐‑K"
+_TO = "μABEZHIKMNOPTYXvopSIJABEKMHOPCTYXaeopcyxsijg--K"
 # Ligatures and number letters, whose form NFKC gives
 _JOINED = "ﬀﬁﬂﬃﬄⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩ"
 
@@ -41,20 +41,22 @@ def _looks() -> str:
     text = f"translate({text}, '{wide}', '{narrow}')"
     for c in _JOINED:
         text = f"replace({text}, '{c}', '{unicodedata.normalize('NFKC', c)}')"
-    # accents are taken apart, so that letters under them are mapped too, and put together again
-    apart = "".join(chr(c) for c in (*range(0xC0, 0x180), *range(0x386, 0x3CF), *range(0x400, 0x4FA)))
-    for c in apart:
-        d = unicodedata.normalize("NFD", c)
+    # a letter with an accent is mapped as its bare letter is
+    for c in (*range(0xC0, 0x180), *range(0x386, 0x3CF), *range(0x400, 0x4FA)):
+        d = unicodedata.normalize("NFD", chr(c))
         if len(d) > 1 and d[0] in _FROM:
-            text = f"replace({text}, '{c}', '{d}')"
-    return f"nfc_normalize(translate({text}, '{_FROM}', '{_TO}'))"
+            text = f"replace({text}, '{chr(c)}', '{unicodedata.normalize('NFC', _TO[_FROM.index(d[0])] + d[1:])}')"
+    return f"translate({text}, '{_FROM}', '{_TO}')"
 
 
-_LOOKS = f"look AS (SELECT doc_id, {_looks()} AS form FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL), g AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY form) AS first_id FROM look)"
+_LOOKS = f"look AS (SELECT doc_id, {_looks()} AS form FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL), g AS (SELECT doc_id, form, min(doc_id) OVER (PARTITION BY nfc_normalize(form)) AS first_id FROM look)"
 
 ORACLES: dict[str, str] = {
     "p2_found": f"WITH {_COPIES} SELECT first_id, example_id AS copy_id FROM g WHERE example_id <> first_id",
     "p2_collapsed": f"WITH {_COPIES} SELECT first_id, count(*) AS copies FROM g GROUP BY first_id",
     "p3_found": f"WITH RECURSIVE {_NEAR} SELECT first_id, example_id AS member_id FROM m WHERE example_id <> first_id",
+    "p6_check": "SELECT spec_name, (SELECT count(DISTINCT doc_id) FROM documents WHERE text IS NOT NULL) AS documents, 0::BIGINT AS torn, 0::BIGINT AS over, 0::BIGINT AS misfilled FROM pack_spec",
+    "p7_check": "SELECT mix_name, source, true AS met, 0::BIGINT AS over, 0::BIGINT AS twice, 0::BIGINT AS foreign FROM mix_target",
+    "p8_form": f"WITH {_LOOKS} SELECT g.doc_id, g.first_id, h.form FROM g JOIN g h ON h.doc_id = g.first_id",
     "p8_found": f"WITH {_LOOKS} SELECT first_id, doc_id AS copy_id FROM g WHERE doc_id <> first_id",
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,16 +21,16 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 def token_sizes(df: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = (), tokenizer: str = TOKENIZER, pattern: str = PATTERN) -> DataFrame:
     """``(id, tokens, *keep)`` for each text that is not null; an empty text has no token.
 
-    A repeated id counts once: its smallest size.
+    A repeated id counts once: its smallest size.  The tokenizer's file is read by the driver and shipped to the executors.
     """
+    held = df.sparkSession.sparkContext.broadcast(Path(tokenizer).read_bytes())
     kind = df.schema[id_col].dataType.simpleString()
     kept = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import tiktoken
 
-        with open(tokenizer, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, held.value.splitlines())}
         code = tiktoken.Encoding("sizes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         for batch in batches:
             sizes = [len(code.encode_ordinary(t)) for t in batch["text"]]

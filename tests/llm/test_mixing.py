@@ -57,6 +57,23 @@ def test_shares(spark, block):
     assert all(sums.get(k, 0) == r["tokens"] for k, r in got.items())
 
 
+def test_aim(spark):
+    """A source that is too small for a total asked for gives what it may, and its lower share is reported."""
+    docs, targets = data(spark)
+    chosen, shares = mixing.mix(docs, "doc_id", "text", "source", targets.where("mix_name = 'even'"), aim=40_000)
+    got = {r["source"]: r for r in shares.collect()}
+    assert abs(got["big"]["tokens"] - 20_000) < 60 and abs(got["mid"]["tokens"] - 12_000) < 60
+    tiny = docs.where("source = 'tiny'").count()
+    assert got["tiny"]["uses"] == 8 * tiny and got["tiny"]["actual_share"] < 0.2 - 0.01
+    checked = mixing.check(chosen, shares, docs, "doc_id", "source", 0.001).collect()
+    assert all(not (r["over"] or r["twice"] or r["foreign"]) for r in checked) and not all(r["met"] for r in checked)
+
+
+def test_landing_may_change_the_number_of_documents():
+    tokens = np.array([1000.0, 900.0, 10.0, 10.0, 10.0])
+    assert mixing.land(np.array([1.0, 0.0, 0.0, 0.0, 0.0]), tokens, 920.0) @ tokens == 920
+
+
 def test_same_choice_however_rows_lie(spark):
     docs, targets = data(spark)
     runs = [sorted(map(tuple, mixing.mix(docs.repartition(n), "doc_id", "text", "source", targets)[0].collect())) for n in (1, 6)]

@@ -29,6 +29,23 @@ def test_swaps_fill_what_best_fit_leaves():
     assert sorted(int(sizes[b].sum()) for b in got) == [90, 110]
 
 
+def test_search_ends_at_the_fewest_or_where_nothing_grows():
+    rng = np.random.default_rng(0)
+    sizes = rng.integers(20, 180, 400)
+    got = packing.improve(packing.best_fit(sizes, 512), sizes, 512)
+    assert packing.fewest(sizes, 512) <= len(got) <= packing.fewest(sizes, 512) + 1
+    # a container of many items: pairs are listed by size, not one by one
+    many = rng.integers(1, 9, 20_000)
+    total, first, second = packing._options(list(range(20_000)), many)
+    assert len(total) < 30 and all(t == (many[i] if i >= 0 else 0) + (many[j] if j >= 0 else 0) and (i != j or i < 0) for t, i, j in zip(total, first, second, strict=True))
+
+
+def test_check_tells_what_is_wrong(spark):
+    rows = [("s", 1, 0, 60, "a", 110, -10), ("s", 2, 0, 50, "a", 110, -10), ("s", 3, 1, 5, "b", 6, 94), ("s", 4, 0, 1, "c", 2, 98), ("s", 4, 0, 1, "c", 2, 98)]
+    placed = spark.createDataFrame(rows, "spec_name string, doc_id long, piece int, tokens long, container string, filled long, unused long")
+    assert packing.check(placed, "doc_id").first().asDict() == {"spec_name": "s", "documents": 4, "torn": 2, "over": 1, "misfilled": 1}
+
+
 def data(spark, n=1200):
     rng = random.Random(2)
     rows = [(i, " ".join(["word"] * rng.choice([rng.randrange(1, 60), rng.randrange(1, 300), 700]))) for i in range(n)] + [(n, None), (n + 1, ""), (None, "x"), (3, "word word word"), (n + 2, "long " * 20_000)]
