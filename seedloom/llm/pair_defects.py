@@ -1,12 +1,16 @@
 """Broken prompt-response pairs: empty, truncated, refusing, copying or foreign responses.
 
-Two models are fitted here, without labelled defects:
+Three models are fitted here, without labelled defects in the data:
 
 * A character n-gram naive Bayes for languages starts from a bounded sample of
   labelled documents (``ROWS_PER_LANGUAGE``), names the language of every prompt, and is
-  fitted again on it and *all* pairs by their prompts' language.  A pair is defective if
-  the posteriors of prompt and response name different languages with odds of
+  fitted again on it and *all* pairs by their prompts' language.  A pair is defective if by
+  the posteriors of prompt and response the odds against one language for both are
   at least ``e ** FOREIGN``.
+* A naive Bayes on words and pairs of words tells sentences that decline, and responses that stand for nothing, from answers.
+  It is fitted on labelled examples of both (``DECLINING``, ``NOTHING``) against *all* responses, of which few are of either kind,
+  and fitted again with the sentences of *all* responses that it names.
+  A response is of a kind if the odds of one of its sentences against an answer are at least ``e ** CLASSED``.
 * An end-of-text model counts, over all responses of a field, how often a context of
   up to 10 characters ends a text or sentence and how often it goes on.  A response
   that no full stop closes is truncated if its end has a likelihood below ``BROKEN`` by all
@@ -14,10 +18,9 @@ Two models are fitted here, without labelled defects:
   as a whole option does, or more prompts have just this response than have one that goes on from
   there, as a common answer ("none") does.  Copies under one prompt count once in all of this.
 
-The first is an array of hashed counts with a size fixed by ``GRAMS``, the second a table of counts by context,
+The first and the last are arrays of hashed counts with a size fixed by ``GRAMS``, the second a table of counts by context,
 keyed by 64 bits of hash: of n contexts about n * n / 2 ** 65 pairs are taken for one, below 0.03 for a billion.
-Refusals and stand-ins for nothing are named by fixed word patterns; copies are
-found by comparing words with the prompt and its question.
+Copies are found by comparing words with the prompt and its question.
 """
 
 from __future__ import annotations
@@ -57,40 +60,27 @@ _CLOSED = re.compile(r"(?<![.…])[.!?。！？][\"'”»’)\]*]*$|[^.][.][\"'
 _ELLIPSIS = re.compile(r"(…|\.\.\.)\s*$")
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
-# Words that stand for no answer, as words joined by blanks.
-STANDS_FOR_NOTHING = {
-    "n a", "na", "nan", "nil", "null", "tbd", "tba", "todo", "empty", "blank", "undefined", "missing", "unknown", "no answer", "no response", "no output", "not available", "not applicable", "not given",
-    "k a", "keine antwort", "keine angabe", "leer", "sin respuesta", "vacío", "s r", "pas de réponse", "sans réponse", "vide", "s o",
-}
-
-# How answers decline, as patterns over lower-case words joined by blanks.
-DECLINES = (
-    # English
-    r"\b(i|we) (can ?not|can t|could not|couldn t|am not able|m not able|am unable|m unable|are not able|are unable|will not|won t|would not|wouldn t|do not|don t|must|have to|have no|would rather not|d rather not|would prefer not|d prefer not|may not) ?(answer|help|assist|provide|comment|respond|say|share|discuss|give|do that|have access|have the|decline|refuse|way|to say|to answer|able)?\b.*\b(answer\w*|help|assist|provide|comment|respond|say|share|discuss|data|information|this|that|verify|decline)\b",
-    r"\bi must decline\b",
-    r"\bmy (guidelines|instructions|rules|policy|policies)\b",
-    r"\boutside (of )?what (i|we) (may|can)\b",
-    r"\b(isn t|is not|it s not) possible for (me|us)\b",
-    r"^(i m |i am |we are )?(very )?sorry\b",
-    r"^(my )?apolog(y|ies|ize|ise)\b",
-    r"\bas an? (large )?(language|ai|virtual|chat) ?(model|assistant|bot)\b",
-    # German
-    r"\bich (kann|darf|möchte|werde)\b.*\b(nicht|keine|kein|nichts)\b",
-    r"\b(kann|darf|möchte) ich\b.*\b(nicht|keine|kein|nichts)\b",
-    r"\bmir (fehlt|fehlen|ist es nicht|ist das nicht)\b",
-    r"\bist (es )?mir (leider )?nicht\b",
-    r"\btut mir leid\b",
-    r"^leider\b",
-    # Spanish
-    r"\bno (puedo|podemos|me es|me está|nos es|tengo (acceso|permiso|forma|manera)|estoy en condiciones|deseo|quiero)\b",
-    r"^(lo siento|lo lamento|lamento|lamentablemente|por desgracia|disculpa|disculpe|perdón)\b",
-    # French
-    r"\bje ne (peux|puis|suis pas (en mesure|autorisé|capable)|souhaite|veux|dois|saurais)\b",
-    r"\bje n ai (pas|aucun)\b.*\b(accès|moyen|droit|autorisation)\b",
-    r"\bne m est pas (possible|permis)\b",
-    r"^(désolée?|je suis désolée?|malheureusement|je regrette|navrée?)\b",
-)
-_DECLINES = re.compile("|".join(f"(?:{p})" for p in DECLINES))
+#: Log odds at which a sentence is held to decline, or a response to stand for nothing; and the weight of all responses' words in those of a class.
+CLASSED, MIXED = 10.0, 100.0
+#: Languages of the sample, at most: the most frequent ones.
+LANGUAGES = 64
+
+# Labelled examples of responses that stand for nothing.
+NOTHING = (
+    "n/a", "na", "nan", "nil", "null", "tbd", "tba", "to do", "todo", "empty", "blank", "undefined", "missing", "unknown", "no answer", "no answer given", "no response", "no output", "not available", "not applicable", "not given", "to be done",
+    "k. a.", "keine Antwort", "keine Angabe", "leer", "sin respuesta", "vacío", "s/r", "pas de réponse", "sans réponse", "vide", "s. o.",
+)
+
+# Labelled examples of responses that decline, in the languages of the corpus.
+DECLINING = (
+    "I'm sorry, but I cannot answer this question.", "I am sorry, I can't help with that request.", "Sorry, I am unable to provide this information.", "Unfortunately I cannot help with that.", "I am not able to give an answer to this.",
+    "I do not have access to this data.", "I don't have the information to answer that.", "I must decline to answer.", "I have to refuse this request.", "I will not comment on that.", "I won't discuss this topic.", "I would rather not say.", "I'd prefer not to answer.",
+    "As an AI language model, I cannot respond to this.", "As a language assistant, I may not say anything about it.", "My guidelines do not allow me to answer.", "My instructions keep me from giving this answer.", "My rules forbid me to share that.", "My apologies, but we cannot share this information.", "I apologize, it is not possible for me to verify that.",
+    "This is not something I can discuss.", "That question is outside the scope of what I may help with.", "It is not possible for me to tell you that.", "We are not able to assist with this.", "I could not verify this and cannot say.",
+    "Ich kann diese Frage nicht beantworten.", "Leider kann ich dazu nichts sagen.", "Es tut mir leid, aber ich darf darüber keine Auskunft geben.", "Leider habe ich keinen Zugang zu diesen Daten.", "Mir fehlt der Zugriff auf diese Angaben.", "Mir fehlen die Daten dafür.", "Als Sprachmodell darf ich das nicht beantworten.", "Ich möchte mich dazu nicht äußern.", "Das ist mir leider nicht möglich.", "Dabei kann ich nicht helfen.", "Meine Richtlinien erlauben mir keine Antwort.",
+    "No puedo responder a esta pregunta.", "Lo siento, pero no tengo acceso a esos datos.", "Lamentablemente no me es posible ayudar con eso.", "Como modelo de lenguaje no puedo dar esa información.", "Por desgracia no me está permitido contestar.", "Lo lamento, no estoy en condiciones de responder.", "Disculpe, no podemos compartir esa información.", "Mis normas no me permiten responder.", "Prefiero no responder a eso.",
+    "Je ne peux pas répondre à cette question.", "Désolé, mais je n'ai pas accès à ces données.", "Malheureusement je ne suis pas en mesure de répondre.", "Je suis désolé, il ne m'est pas possible de vous aider.", "En tant que modèle de langage, je ne peux pas donner cette information.", "Je regrette, je ne suis pas autorisé à en parler.", "Je préfère ne pas répondre.", "Mes règles ne me permettent pas de répondre.", "Je n'ai aucun moyen de vérifier cela.",
+)
 
 
 # --- character arrays ---------------------------------------------------------
@@ -140,18 +130,86 @@ class Languages:
         return np.stack([np.bincount(at, weights=row[bucket], minlength=len(texts)) for row in self.logp], axis=1)
 
 
+_SENTENCE = re.compile(r"(?<=[.!?…])\s+")
+
+
+class Replies:
+    """Naive Bayes over hashed words and pairs of words: rows of counts for answers, declining sentences and responses that stand for nothing."""
+
+    def __init__(self, counts: np.ndarray) -> None:
+        total = counts.sum(axis=0)
+        every = (total + 0.5) / (total.sum() + 0.5 * counts.shape[1])
+        # against all that is said: what no response and no example holds speaks for neither
+        logp = np.log((counts[1:] + MIXED * every) / (counts[1:].sum(axis=1, keepdims=True) + MIXED))
+        self.odds = (logp - np.log(every)).astype(np.float32)
+
+    def kinds(self, texts: list[str], known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each text declines in one of its sentences, and whether it stands for nothing as a whole."""
+        of, parts = _sentences(texts)
+        at, bucket = _word_features(parts, known)
+        declines, nothing = (np.bincount(at, weights=row[bucket], minlength=len(parts)) for row in self.odds)
+        most, least = np.full(len(texts), -np.inf), np.full(len(texts), np.inf)
+        np.maximum.at(most, of, declines)
+        np.minimum.at(least, of, nothing)
+        return most >= CLASSED, (least >= CLASSED) & np.isfinite(least)
+
+
+def _sentences(texts: list[str]) -> tuple[np.ndarray, list[str]]:
+    """The sentences of all texts, with the number of the text."""
+    found = [(i, p) for i, t in enumerate(texts) for p in _SENTENCE.split(t) if p]
+    return np.fromiter((i for i, _ in found), np.int64, len(found)), [p for _, p in found]
+
+
+def _word_features(texts: list[str], known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Text number and bucket of each word, of each pair of neighbours (an edge counts as one), and of a short text as a whole."""
+    if len(known) > 500_000:
+        known.clear()
+    flat: list[int] = []
+    sizes = np.zeros(len(texts), np.int64)
+    for i, text in enumerate(texts):
+        parts = _WORD.findall(text.lower())
+        sizes[i] = len(parts) + 2
+        flat.append(1)
+        for w in parts:
+            h = known.get(w)
+            if h is None:
+                h = known[w] = int.from_bytes(blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+            flat.append(h)
+        flat.append(2)
+    word = np.array(flat, np.uint64)
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    inner = word > 2
+    same = owner[1:] == owner[:-1]
+    pair = (word[:-1] * _P1 ^ (word[1:] >> np.uint64(7))) * _P2
+    begin = np.cumsum(sizes) - sizes
+    short = np.flatnonzero((sizes > 2) & (sizes <= 6))
+    whole = np.bitwise_xor.reduceat(word * (np.arange(len(word)).astype(np.uint64) - np.repeat(begin, sizes).astype(np.uint64) + np.uint64(3)) * _P1, begin)[short] * _P2 if len(word) else word
+    at = np.concatenate([owner[inner], owner[:-1][same], short])
+    return at, (np.concatenate([word[inner] * _P1, pair[same], whole]) >> np.uint64(48)).astype(np.int64) % GRAMS
+
+
+def _seeds() -> np.ndarray:
+    """Counts of the labelled examples."""
+    return np.stack([np.bincount(_word_features(list(texts), {})[1], minlength=GRAMS) for texts in (DECLINING, NOTHING)])
+
+
 def first_languages(documents: DataFrame, text_col: str, lang_col: str, id_col: str, rows: int = ROWS_PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
-    """Names and counts from at most ``rows`` labelled documents a language, chosen by a hash of the id."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
+    """Names and counts from at most ``rows`` labelled documents a language, chosen by a hash of the id.
+
+    The texts are counted on the executors; of each language one array of fixed size comes to the driver.
+    """
     known = documents.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    chosen = known.select("id", "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= rows).drop("k")
-    sample = known.join(F.broadcast(chosen), ["id", "lang"]).select("lang", "text").collect()
-    names = sorted({r["lang"] for r in sample})
-    counts = np.zeros((len(names), GRAMS), np.int64)
-    for i, name in enumerate(names):
-        texts = [_spelled(_LETTERS.findall(r["text"])) for r in sample if r["lang"] == name]
-        counts[i] = np.bincount(_grams(texts)[1], minlength=GRAMS)
-    return names, counts
+    most = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).select("lang")
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
+    chosen = known.select("id", "lang").join(F.broadcast(most), "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= rows).drop("k")
+
+    def count(frame: pd.DataFrame) -> pd.DataFrame:
+        grams = _grams([_spelled(_LETTERS.findall(t)) for t in frame["text"]])[1]
+        return pd.DataFrame({"lang": frame["lang"][:1], "grams": [_pack(np.bincount(grams, minlength=GRAMS))]})
+
+    sample = known.join(F.broadcast(chosen), ["id", "lang"]).select("lang", "text")
+    got = sorted(sample.groupBy("lang").applyInPandas(count, "lang string, grams binary").collect(), key=lambda r: r["lang"])
+    return [r["lang"] for r in got], np.stack([_unpack(r["grams"]) for r in got]).astype(np.int64) if got else np.zeros((0, GRAMS), np.int64)
 
 
 # --- end of text --------------------------------------------------------------
@@ -281,8 +339,21 @@ def _unpack(x: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.int32)
 
 
-def fit(pairs: DataFrame, names: list[str], first: np.ndarray) -> np.ndarray:
-    """Language counts over all pairs; arrays of fixed size, summed by piece."""
+def _added(counted: DataFrame, parts: int, fan: int = 32) -> dict[str, np.ndarray]:
+    """The sums of packed arrays by piece, as a tree: no task adds up more than ``fan`` of them."""
+
+    def add(frame: pd.DataFrame) -> pd.DataFrame:
+        total = sum(_unpack(c).astype(np.int64) for c in frame["counts"])
+        return frame[:1].assign(counts=[_pack(np.minimum(total, 2**31 - 1))])
+
+    while parts > 1:
+        parts = -(-parts // fan)
+        counted = counted.withColumn("part", F.floor(F.col("part") / fan).cast("int")).groupBy("piece", "part").applyInPandas(add, counted.schema)
+    return {r["piece"]: _unpack(r["counts"]) for r in counted.collect()}
+
+
+def fit(pairs: DataFrame, parts: int, names: list[str], first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of languages and of the words of all responses, over all pairs, in ``parts`` partitions; arrays of fixed size, summed by piece."""
     n = max(1, len(names))
     if not names:
         first = np.zeros((1, GRAMS), np.int64)
@@ -290,13 +361,15 @@ def fit(pairs: DataFrame, names: list[str], first: np.ndarray) -> np.ndarray:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = Languages(start.value)
-        grams = np.zeros((n, GRAMS), np.int64)
+        grams, words, known = np.zeros((n, GRAMS), np.int64), np.zeros(GRAMS, np.int64), {}
         any_row = False
         for batch in batches:
+            any_row |= len(batch) > 0
+            _, parts = _sentences([t for f in _FIELDS for t in batch[f] if _says(t)])
+            words += np.bincount(_word_features(parts, known)[1], minlength=GRAMS)
             batch = batch[batch["input"].notna()]
             if batch.empty:
                 continue
-            any_row = True
             prompts = [_spelled(_LETTERS.findall(t)) for t in batch["input"]]
             lang = model.scores(prompts).argmax(axis=1)
             responses = [_spelled(_LETTERS.findall(" ".join(t for t in (o, e) if _says(t)))) for o, e in zip(batch["output"], batch["explanation"], strict=True)]
@@ -304,18 +377,42 @@ def fit(pairs: DataFrame, names: list[str], first: np.ndarray) -> np.ndarray:
                 at, bucket = _grams(texts)
                 grams += np.bincount(lang[at] * GRAMS + bucket, minlength=n * GRAMS).reshape(n, GRAMS)
         if any_row:
-            yield pd.DataFrame([(f"grams {i}", _pack(grams[i])) for i in range(n)], columns=["piece", "counts"])
+            yield pd.DataFrame([*((f"grams {i}", _pack(grams[i])) for i in range(n)), ("words", _pack(words))], columns=["piece", "counts"])
 
-    def add(frame: pd.DataFrame) -> pd.DataFrame:
-        total = sum(_unpack(c).astype(np.int64) for c in frame["counts"])
-        return pd.DataFrame({"piece": frame["piece"][:1], "counts": [_pack(np.minimum(total, 2**31 - 1))]})
-
-    schema = "piece string, counts binary"
-    counted = pairs.mapInPandas(count, schema).withColumn("part", F.spark_partition_id() % 32)
-    once = counted.groupBy("piece", "part").applyInPandas(lambda f: add(f[["piece", "counts"]]), schema)
-    got = {r["piece"]: _unpack(r["counts"]) for r in once.groupBy("piece").applyInPandas(add, schema).collect()}
+    counted = pairs.mapInPandas(count, "piece string, counts binary").withColumn("part", F.spark_partition_id())
+    got = _added(counted, parts)
     # the sample stays in, for languages in which no prompt is written
-    return first + np.stack([got.get(f"grams {i}", np.zeros(GRAMS, np.int32)) for i in range(n)])
+    none = np.zeros(GRAMS, np.int32)
+    return first + np.stack([got.get(f"grams {i}", none) for i in range(n)]), np.stack([got.get("words", none), *_seeds()]).astype(np.int64)
+
+
+def _posterior(scores: np.ndarray) -> np.ndarray:
+    """Log posteriors of languages that are equally likely at first."""
+    top = scores.max(axis=1, keepdims=True)
+    return scores - top - np.log(np.exp(scores - top).sum(axis=1, keepdims=True))
+
+
+def refit(pairs: DataFrame, parts: int, counts: np.ndarray) -> np.ndarray:
+    """The counts of words with those of all sentences and responses that they name added to their kinds."""
+    start = pairs.sparkSession.sparkContext.broadcast(counts)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model, known = Replies(start.value), {}
+        kinds = np.zeros((2, GRAMS), np.int64)
+        for batch in batches:
+            for field in _FIELDS:
+                said = [t for t in batch[field] if _says(t)]
+                of, sentences = _sentences(said)
+                at, bucket = _word_features(sentences, known)
+                odds = [np.bincount(at, weights=row[bucket], minlength=len(sentences)) for row in model.odds]
+                whole = np.bincount(of, minlength=len(said))[of] == 1
+                for k, named in enumerate((odds[0] >= CLASSED, (odds[1] >= CLASSED) & whole & (field == "output"))):
+                    kinds[k] += np.bincount(bucket[named[at]], minlength=GRAMS)
+        if kinds.any():
+            yield pd.DataFrame([(f"kinds {k}", _pack(kinds[k])) for k in range(2)], columns=["piece", "counts"])
+
+    got = _added(pairs.mapInPandas(count, "piece string, counts binary").withColumn("part", F.spark_partition_id()), parts)
+    return counts + np.stack([np.zeros(GRAMS, np.int32), *(got.get(f"kinds {k}", np.zeros(GRAMS, np.int32)) for k in range(2))])
 
 
 def _says(text: object) -> bool:
@@ -352,17 +449,6 @@ def ends_like_prompt(text: str, prompt: str, words: int = 3) -> bool:
     return any(w == last[-1] and [x for x, _ in spans[max(0, j - n + 1) : j + 1]] == last and _WHOLE.match(prompt, end) for j, (w, end) in enumerate(spans))
 
 
-def is_empty(output: object) -> bool:
-    if not isinstance(output, str):
-        return True
-    words = _WORD.findall(output.lower())
-    return not words or " ".join(words) in STANDS_FOR_NOTHING
-
-
-def declines(text: object) -> bool:
-    return isinstance(text, str) and bool(_DECLINES.search(" ".join(_WORD.findall(text.lower()))))
-
-
 def _questions(words: list[str], prompt: str) -> list[list[str]]:
     """The whole prompt and its question, as words; the question with and without its label."""
     out = [words]
@@ -384,12 +470,12 @@ def copies_prompt(text: object, words: list[str], prompt: str, alike: float = 0.
     if not isinstance(text, str):
         return False
     got = _WORD.findall(text.lower())
-    if len(got) < 4 or len(set(got) & set(words)) < alike * len(set(got)):
+    if len(got) < 2 or len(set(got) & set(words)) < alike * len(set(got)):
         return False
     for want in _questions(words, prompt):
         if got == want:
             return True
-        if len(want) >= 4 and min(len(got), len(want)) >= alike * max(len(got), len(want)) and SequenceMatcher(None, got, want, False).ratio() >= alike:
+        if min(len(got), len(want)) >= 4 and min(len(got), len(want)) >= alike * max(len(got), len(want)) and SequenceMatcher(None, got, want, False).ratio() >= alike:
             return True
     return False
 
@@ -401,27 +487,32 @@ def defects(df: DataFrame, documents: DataFrame, id_col: str, version: str | Non
     ``language``.  A null input is compared with nothing, so only the first two and a
     broken end can be found.  A null, blank or ``undefined`` explanation is no defect.  Of rows that share
     an id one counts (``keyed.one_per_id``).  ``documents`` gives the
-    labelled sample (doc_id, text, lang); without labels no language is named.
+    labelled sample (doc_id, text, lang); without labels no language is named.  A response of three characters or fewer is not tested for a broken end.
     """
     kind = df.schema[id_col].dataType.simpleString()
     when = F.col(version) if version else F.lit(None)
     rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), when.cast("timestamp").alias("version"), "input", "output", "explanation")
     parts = {c: F.col(c) for c in ("input", "output", "explanation")}
-    pairs = spread(cut(one_per_id(rows, "id", F.col("version"), content_hash(*parts.values()), parts), "pairs"))
+    pairs = cut(one_per_id(rows, "id", F.col("version"), content_hash(*parts.values()), parts), "pairs")
+    tasks = max(pairs.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism)
+    pairs = spread(pairs)
     names, first = first_languages(documents, "text", "lang", "doc_id")
-    model = df.sparkSession.sparkContext.broadcast(fit(pairs.select("input", "output", "explanation"), names, first))
+    grams, said = fit(pairs.select("input", "output", "explanation"), tasks, names, first)
+    model = df.sparkSession.sparkContext.broadcast((grams, refit(pairs.select(*_FIELDS), tasks, said)))
 
     def name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        languages = Languages(model.value) if len(model.value) > 1 else None
+        languages = Languages(model.value[0]) if len(model.value[0]) > 1 else None
+        replies, known_words = Replies(model.value[1]), {}
         for batch in batches:
             found = np.full(len(batch), "", object)
             prompts = [p if isinstance(p, str) else "" for p in batch["input"]]
             words = [_WORD.findall(p.lower()) for p in prompts]
             sets = [set(w) for w in words]
+            declines, nothing = zip(*(replies.kinds([t if _says(t) else "" for t in batch[field]], known_words) for field in _FIELDS), strict=True)
             for i, (p, o, e) in enumerate(zip(prompts, batch["output"], batch["explanation"], strict=True)):
-                if is_empty(o):
+                if not isinstance(o, str) or not _WORD.search(o) or not _says(o) or nothing[0][i]:
                     found[i] = "empty"
-                elif declines(o) or declines(e):
+                elif declines[0][i] or declines[1][i]:
                     found[i] = "refusal"
                 elif copies_prompt(o, words[i], p) or copies_prompt(e, words[i], p):
                     found[i] = "copy"
@@ -438,8 +529,7 @@ def defects(df: DataFrame, documents: DataFrame, id_col: str, version: str | Non
                             bounds[i] = _bound(t, sets[i])
                 ends |= {f"{field}_body": bodies, f"{field}_bound": pd.Series(bounds, dtype="float64"), f"{field}_closed": closed}
             if languages is not None:
-                of_prompt = languages.scores([_spelled(_LETTERS.findall(p)) for p in prompts])
-                best = of_prompt.argmax(axis=1)
+                of_prompt = _posterior(languages.scores([_spelled(_LETTERS.findall(p)) for p in prompts]))
                 for field in _FIELDS:
                     at, told = [], []
                     for i, t in enumerate(batch[field]):
@@ -449,8 +539,10 @@ def defects(df: DataFrame, documents: DataFrame, id_col: str, version: str | Non
                                 at.append(i)
                                 told.append(_spelled(new))
                     if at:
-                        s = languages.scores(told)
-                        foreign = s.max(axis=1) - s[np.arange(len(at)), best[at]] > FOREIGN
+                        # the chance that both are in one language, whichever it is
+                        one = of_prompt[at] + _posterior(languages.scores(told))
+                        top = one.max(axis=1)
+                        foreign = top + np.log(np.exp(one - top[:, None]).sum(axis=1)) < -FOREIGN
                         found[np.array(at)[foreign]] = "language"
             yield pd.DataFrame({"id": batch["id"].to_numpy(), "defect": found, **ends})
 

@@ -1,6 +1,7 @@
 import os
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,27 +19,43 @@ GERMAN = [
 ]
 
 
-@pytest.mark.parametrize("text", [None, "", "  ", "​", "...", '""', "[]", "n/a", "N/A", "TBD", "(no answer)", "<empty>", "null", "___"])
-def test_empty(text):
-    assert pd_.is_empty(text)
+@pytest.fixture(scope="module")
+def replies():
+    """The model of responses, with all responses of a data folder as answers."""
+    if not os.path.isdir(SF):
+        pytest.skip("no test data")
+    rows = pd.read_parquet(f"{SF}/examples.parquet", columns=["output", "explanation"])
+    _, parts = pd_._sentences([t for c in rows for t in rows[c] if pd_._says(t)])
+    return pd_.Replies(np.stack([np.bincount(pd_._word_features(parts, {})[1], minlength=pd_.GRAMS), *pd_._seeds()]))
 
 
-@pytest.mark.parametrize("text", ["None", "none", "A", "(D)", "0", "No."])
-def test_not_empty(text):
-    assert not pd_.is_empty(text)
+EMPTY = [None, "", "  ", "​", "...", '""', "[]", "n/a", "N/A", "TBD", "(no answer)", "<empty>", "null", "___", "undefined"]
+NOT_EMPTY = ["None", "none", "A", "(D)", "0", "No."]
+REFUSALS = ["I'm sorry, but I cannot answer this question.", "As a language assistant, I will not comment.", "My guidelines keep me from giving this answer", "UNFORTUNATELY I CAN’T HELP WITH THAT REQUEST", "Ich kann diese Frage nicht beantworten", "Leider darf ich keine Auskunft geben.", "Lo siento, pero no tengo acceso a esos datos", "No puedo responder", "Je ne peux pas répondre à cette question", "Désolé, mais je n'ai pas accès à ces données"]
+NO_REFUSALS = ["Without access the planning desk cannot answer for the counts.", "The decline was put down to snow", "Wagen je Stunde", "The town could not tell cars from vans", None, ""]
 
 
-@pytest.mark.parametrize(
-    "text",
-    ["I'm sorry, but I cannot answer this question.", "As a language assistant, I will not comment.", "My guidelines keep me from giving this answer", "UNFORTUNATELY I CAN’T HELP WITH THAT REQUEST", "Ich kann diese Frage nicht beantworten", "Leider darf ich keine Auskunft geben.", "Lo siento, pero no tengo acceso a esos datos", "No puedo responder", "Je ne peux pas répondre à cette question", "Désolé, mais je n'ai pas accès à ces données"],
-)
-def test_refusals(text):
-    assert pd_.declines(text)
+@pytest.mark.parametrize(("texts", "kind", "yes"), [(REFUSALS, 0, True), (NO_REFUSALS, 0, False), (NOT_EMPTY, 1, False), (NOT_EMPTY, 0, False)])
+def test_kinds_of_responses(replies, texts, kind, yes):
+    for text in texts:
+        assert bool(replies.kinds([text or ""], {})[kind][0]) is yes, text
+    # a sentence more does not hide it
+    if yes:
+        assert replies.kinds([f"{t} The record on the town is long and can be read on the spot." if t[-1] == "." else t for t in texts], {})[kind].all()
+
+
+def test_empty_outputs(spark):
+    rows = [(i, "positive", f"Fact: the barges {i}. Question: where {i}?", t, None, None, "v") for i, t in enumerate(EMPTY + NOT_EMPTY)]
+    examples, docs = small(spark)
+    got = {r["example_id"] for r in pd_.example_defects(examples.where("example_id < 1000").withColumn("example_id", F.col("example_id") + 5000).unionByName(spark.createDataFrame(rows, SCHEMA)), docs).where("defect = 'empty'").collect()}
+    assert got == set(range(len(EMPTY)))
 
 
-@pytest.mark.parametrize("text", ["Without access the planning desk cannot answer for the counts.", "The decline was put down to snow", "Wagen je Stunde", "The town could not tell cars from vans", None, ""])
-def test_no_refusals(text):
-    assert not pd_.declines(text)
+def test_sums_as_a_tree(spark):
+    df = spark.createDataFrame([(f"p{k % 3}", bytearray(pd_._pack(np.full(4, k))), k % 50) for k in range(300)], "piece string, counts binary, part int")
+    for fan in (2, 32):
+        got = pd_._added(df, 50, fan)
+        assert {p: int(x[0]) for p, x in got.items()} == {f"p{r}": sum(k for k in range(300) if k % 3 == r) for r in range(3)}
 
 
 @pytest.mark.parametrize(
