@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seedloom.functions.text import letter
-from seedloom.operators import augment, batches, keyed, mcq, metrics, packed_values, prompts, qa, ranking, retrieval, shred
+from seedloom.operators import augment, batches, keyed, mcq, metrics, packed_values, prompts, qa, ranking, retrieval, shred, vectors
 from seedloom.operators.providers import BatchProvider, RuleProvider, stub_batch
 from seedloom.plans.sql import ORACLES
 from seedloom.schemas import MULTIPLE_CHOICE, QUESTION_ANSWER
@@ -193,6 +193,19 @@ def mean_f1(spark: SparkSession, d: str) -> DataFrame:
     return rows.agg(F.round(F.avg("f1"), 6).alias("mean_f1"))
 
 
+def token_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Token vectors fitted on all documents, as text."""
+    rows = vectors.fit_token_vectors(table(spark, d, "documents"), "text")
+    return rows.select("token", "n", F.array_join(F.transform("vector", lambda x: x.cast("int").cast("string")), " ").alias("vector"))
+
+
+def bertscore_fitted(spark: SparkSession, d: str) -> DataFrame:
+    """Greedy matching with the vectors fitted on the documents."""
+    each, _ = vectors.token_model(vectors.fit_token_vectors(table(spark, d, "documents"), "text"))
+    rows = metrics.bertscore(table(spark, d, "eval_pair"), "pair_id", "prediction", "reference", each)
+    return rows.select("pair_id", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
 def loss_series(spark: SparkSession, d: str) -> DataFrame:
     return metrics.loss_series(table(spark, d, "train_log"), "run_id")
 
@@ -298,7 +311,7 @@ def answer_containment(spark: SparkSession, d: str) -> DataFrame:
 
 _QUERIES: tuple[Query, ...] = (
     p1_found, p5_found, p5_task, p5_category, p5_definition, p5_positive, p5_negative, p5_variant, p5_shuffle, p5_rejects, mc_parse, qa_parse, parse_rejects, mc_shuffle, mc_distractors, mc_augment_pos, mc_augment_neg, qa_augment_pos, qa_augment_neg, augment_counts,
-    prompt_corpus, holdout_split, head_batches, row_by_index, option_top3, option_hits, rouge1, rouge2, rouge_l, rouge, bleu, bertscore, mean_f1, loss_series, trainer_state_read, page_documents, page_chunks,
+    prompt_corpus, holdout_split, head_batches, row_by_index, option_top3, option_hits, rouge1, rouge2, rouge_l, rouge, bleu, bertscore, mean_f1, token_vectors, bertscore_fitted, loss_series, trainer_state_read, page_documents, page_chunks,
     page_chunks_recursive, vector_topk, rag_context, seed_prompt, written_seeds, provider_requests, catalog_lookup, nested_export, file_round_trip, answer_distribution, answer_containment,
 )
 

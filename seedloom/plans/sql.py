@@ -136,6 +136,18 @@ re AS (SELECT pair_id, avg(m) AS recall FROM (SELECT pair_id, j, max(alike) AS m
 s AS (SELECT pair_id, coalesce(precision, 0.0) AS precision, coalesce(recall, 0.0) AS recall, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0.0) AS f1 FROM t LEFT JOIN pr USING (pair_id) LEFT JOIN re USING (pair_id))"""
 
 
+#: Token vectors: each token's neighbours within three places, in a text without its common tokens, add the signs that their md5 names.
+_FITTED = f"""dt AS (SELECT row_number() OVER () AS id, {_TOKENS.format(x="text")} AS t FROM documents),
+dc AS (SELECT token, count(*) AS n FROM (SELECT unnest(t) AS token FROM dt) GROUP BY token),
+rare AS (SELECT token FROM dc WHERE n * 100 <= (SELECT sum(n) FROM dc)),
+dp AS (SELECT id, token, row_number() OVER (PARTITION BY id ORDER BY pos) AS pos FROM (SELECT id, unnest(t) AS token, unnest(range(0, len(t))) AS pos FROM dt) SEMI JOIN rare USING (token)),
+dn AS (SELECT a.token, md5(b.token) AS h FROM dp a JOIN dp b ON a.id = b.id AND b.pos BETWEEN a.pos - 3 AND a.pos + 3 AND a.pos <> b.pos),
+dk AS (SELECT token, n FROM dc ORDER BY n DESC, token LIMIT 50000),
+ds AS (SELECT token, (16 * (position(h[3 * k + 1] IN '0123456789abcdef') - 1) + position(h[3 * k + 2] IN '0123456789abcdef') - 1) % 64 AS dim, CASE WHEN h[3 * k + 3] >= '8' THEN 1 ELSE -1 END AS sign FROM dn, (SELECT unnest(range(0, 4)) AS k)),
+dv AS (SELECT token, dim, sum(sign) AS v FROM ds SEMI JOIN dk USING (token) GROUP BY ALL),
+fitted AS (SELECT token, n, dim, coalesce(v, 0) AS v FROM (SELECT token, n, unnest(range(0, 64)) AS dim FROM dk) LEFT JOIN dv USING (token, dim))"""
+
+
 _PAGES = """pages AS (SELECT page_id, url, text FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY crawled_at DESC, url DESC NULLS LAST, text DESC NULLS LAST) AS rn
   FROM page_item WHERE page_id IS NOT NULL) WHERE rn = 1)"""
 
@@ -229,6 +241,7 @@ ORACLES: dict[str, str] = {
     "bleu": _bleu(),
     "bertscore": f"WITH {_BERT} SELECT pair_id, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM s",
     "mean_f1": f"WITH {_BERT} SELECT round(avg(f1), 6) AS mean_f1 FROM s",
+    "token_vectors": f"WITH {_FITTED} SELECT token, n, string_agg(v::BIGINT::VARCHAR, ' ' ORDER BY dim) AS vector FROM fitted GROUP BY ALL",
     "loss_series": "SELECT run_id, e.step AS step, e.loss AS loss FROM (SELECT run_id, unnest(log_history) AS e FROM train_log) WHERE e IS NOT NULL",
     "trainer_state_read": "SELECT run_id, e.step AS step, e.loss AS loss FROM (SELECT run_id, unnest(log_history) AS e FROM train_log) WHERE e IS NOT NULL",
     "page_documents": f"WITH {_PAGES} SELECT page_id, coalesce(text, '') AS page_content, url AS source FROM pages",

@@ -1,4 +1,6 @@
+import hashlib
 import time
+from collections import Counter
 
 import numpy as np
 from hypothesis import given
@@ -6,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from seedloom.functions.text import python_tokens
-from seedloom.operators import metrics
+from seedloom.operators import metrics, vectors
 
 PAIRS = [(1, "The cat sat on the mat", "the cat is on the mat"), (2, None, "a"), (3, "", ""), (4, "a b a b", "b a b a"), (5, "x.\ny z", "x y\nz"), (6, "Éa b", "b")]
 
@@ -69,3 +71,29 @@ def test_bleu(spark):
     assert abs(got["bleu"] - want) < 1e-12 and got["pairs"] == 3
     assert metrics.bleu(df.limit(0), "p", "r").first()["bleu"] is None
     assert metrics.bleu(df.where("p is null"), "p", "r").first()["bleu"] == 0
+
+
+def test_fitted_vectors(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, " ".join(rng.permutation([f"{k}{n}" for n in range(80)])[:40])) for i, k in enumerate("abcabc" * 8)] + [(900, None), (901, ""), (902, "alone")]
+    got = {r["token"]: np.array(r["vector"]) for r in vectors.fit_token_vectors(spark.createDataFrame(rows, "id long, t string").repartition(3), "t").collect()}
+    counts = Counter(t for _, text in rows for t in python_tokens(text))
+    want = {t: np.zeros(64) for t in counts}
+    for _, text in rows:
+        t = [x for x in python_tokens(text) if counts[x] * 100 <= counts.total()]
+        for i, x in enumerate(t):
+            v = want[x]
+            for other in t[max(0, i - 3) : i] + t[i + 1 : i + 4]:
+                h = hashlib.md5(other.encode()).hexdigest()
+                for k in range(4):
+                    v[int(h[3 * k : 3 * k + 2], 16) % 64] += 1 if h[3 * k + 2] >= "8" else -1
+    assert got.keys() == want.keys() and all((got[t] == want[t]).all() for t in want)
+    # tokens that keep the same company are more alike than others
+    unit = {t: v / max(np.linalg.norm(v), 1e-9) for t, v in got.items()}
+    alike = np.mean([unit["a1"] @ unit[f"a{n}"] for n in range(2, 20)])
+    assert alike > np.mean([unit["a1"] @ unit[f"b{n}"] for n in range(2, 20)]) + 0.2
+    each, whole = vectors.token_model(vectors.fit_token_vectors(spark.createDataFrame(rows, "id long, t string"), "t"))
+    df = spark.createDataFrame([(1, "a1 a2", "a2 a1"), (2, "a1", "unheard"), (3, None, "a1")], "id long, p string, r string")
+    scores = {r["id"]: r["f1"] for r in metrics.bertscore(df, "id", "p", "r", each).collect()}
+    assert abs(scores[1] - 1) < 1e-9 and scores[2] == scores[3] == 0 and whole("a1 a2").shape == (64,)
+    assert vectors.fit_token_vectors(spark.createDataFrame(rows, "id long, t string").limit(0), "t").count() == 0
