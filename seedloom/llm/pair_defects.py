@@ -10,7 +10,7 @@ Three models are fitted here, without labelled defects in the data:
 * A naive Bayes on words and pairs of words tells sentences that decline, and responses that stand for nothing, from answers.
   It is fitted on labelled examples of both (``DECLINING``, ``NOTHING``) against *all* responses, of which few are of either kind,
   and fitted again with the sentences of *all* responses that it names.
-  A response is of a kind if the odds of one of its sentences against an answer are at least ``e ** CLASSED``.
+  A response is of a kind if the odds of one of its sentences against an answer are at least ``e ** CLASSED`` by either fit.
 * An end-of-text model counts, over all responses of a field, how often a context of
   up to 10 characters ends a text or sentence and how often it goes on.  A response
   that no full stop closes is truncated if its end has a likelihood below ``BROKEN`` by all
@@ -61,7 +61,7 @@ _ELLIPSIS = re.compile(r"(…|\.\.\.)\s*$")
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 #: Log odds at which a sentence is held to decline, or a response to stand for nothing; and the weight of all responses' words in those of a class.
-CLASSED, MIXED = 10.0, 100.0
+CLASSED, MIXED = (3.0, 10.0), 100.0
 #: Languages of the sample, at most: the most frequent ones.
 LANGUAGES = 64
 
@@ -134,24 +134,29 @@ _SENTENCE = re.compile(r"(?<=[.!?…])\s+")
 
 
 class Replies:
-    """Naive Bayes over hashed words and pairs of words: rows of counts for answers, declining sentences and responses that stand for nothing."""
-
-    def __init__(self, counts: np.ndarray) -> None:
-        total = counts.sum(axis=0)
-        every = (total + 0.5) / (total.sum() + 0.5 * counts.shape[1])
-        # against all that is said: what no response and no example holds speaks for neither
-        logp = np.log((counts[1:] + MIXED * every) / (counts[1:].sum(axis=1, keepdims=True) + MIXED))
-        self.odds = (logp - np.log(every)).astype(np.float32)
+    """Naive Bayes over hashed words and pairs of words, from one or more arrays with rows of counts for answers, declining sentences and responses that stand for nothing."""
+
+    def __init__(self, *fits: np.ndarray) -> None:
+        self.odds = []
+        for counts in fits:
+            total = counts.sum(axis=0)
+            every = (total + 0.5) / (total.sum() + 0.5 * counts.shape[1])
+            # against all that is said: what no response and no example holds speaks for neither
+            logp = np.log((counts[1:] + MIXED * every) / (counts[1:].sum(axis=1, keepdims=True) + MIXED))
+            self.odds.append((logp - np.log(every)).astype(np.float32))
+
+    def named(self, texts: list[str], known: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The text number of each sentence, its features as sentence number and bucket, and whether each sentence is of either kind by one of the fits."""
+        of, parts = _sentences(texts)
+        at, bucket = _word_features(parts, known)
+        scores = [[np.bincount(at, weights=row[bucket], minlength=len(parts)) for row in odds] for odds in self.odds]
+        return of, at, bucket, np.stack([np.max([s[k] for s in scores], axis=0) >= CLASSED[k] for k in range(2)])
 
     def kinds(self, texts: list[str], known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
         """Whether each text declines in one of its sentences, and whether it stands for nothing as a whole."""
-        of, parts = _sentences(texts)
-        at, bucket = _word_features(parts, known)
-        declines, nothing = (np.bincount(at, weights=row[bucket], minlength=len(parts)) for row in self.odds)
-        most, least = np.full(len(texts), -np.inf), np.full(len(texts), np.inf)
-        np.maximum.at(most, of, declines)
-        np.minimum.at(least, of, nothing)
-        return most >= CLASSED, (least >= CLASSED) & np.isfinite(least)
+        of, _, _, named = self.named(texts, known)
+        sentences, declining, nothing = (np.bincount(of, weights=w, minlength=len(texts)) for w in (np.ones(len(of)), named[0], named[1]))
+        return declining > 0, (nothing == sentences) & (sentences > 0)
 
 
 def _sentences(texts: list[str]) -> tuple[np.ndarray, list[str]]:
@@ -402,12 +407,10 @@ def refit(pairs: DataFrame, parts: int, counts: np.ndarray) -> np.ndarray:
         for batch in batches:
             for field in _FIELDS:
                 said = [t for t in batch[field] if _says(t)]
-                of, sentences = _sentences(said)
-                at, bucket = _word_features(sentences, known)
-                odds = [np.bincount(at, weights=row[bucket], minlength=len(sentences)) for row in model.odds]
+                of, at, bucket, named = model.named(said, known)
                 whole = np.bincount(of, minlength=len(said))[of] == 1
-                for k, named in enumerate((odds[0] >= CLASSED, (odds[1] >= CLASSED) & whole & (field == "output"))):
-                    kinds[k] += np.bincount(bucket[named[at]], minlength=GRAMS)
+                for k, which in enumerate((named[0], named[1] & whole & (field == "output"))):
+                    kinds[k] += np.bincount(bucket[which[at]], minlength=GRAMS)
         if kinds.any():
             yield pd.DataFrame([(f"kinds {k}", _pack(kinds[k])) for k in range(2)], columns=["piece", "counts"])
 
@@ -498,11 +501,11 @@ def defects(df: DataFrame, documents: DataFrame, id_col: str, version: str | Non
     pairs = spread(pairs)
     names, first = first_languages(documents, "text", "lang", "doc_id")
     grams, said = fit(pairs.select("input", "output", "explanation"), tasks, names, first)
-    model = df.sparkSession.sparkContext.broadcast((grams, refit(pairs.select(*_FIELDS), tasks, said)))
+    model = df.sparkSession.sparkContext.broadcast((grams, (said, refit(pairs.select(*_FIELDS), tasks, said))))
 
     def name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         languages = Languages(model.value[0]) if len(model.value[0]) > 1 else None
-        replies, known_words = Replies(model.value[1]), {}
+        replies, known_words = Replies(*model.value[1]), {}
         for batch in batches:
             found = np.full(len(batch), "", object)
             prompts = [p if isinstance(p, str) else "" for p in batch["input"]]

@@ -164,3 +164,33 @@ def test_held_out_accuracy(spark):
     assert sum(d == "truncated" for d in cuts) >= 0.75 * len(cuts)
     assert sum(d == "language" for d in foreign) >= 0.95 * len(foreign)
     assert sum(d != "" for d in rest) <= 0.01 * len(rest)
+
+
+# None of these are among the labelled examples.
+HELD_OUT = {
+    "refusal": ["Sorry, this is nothing I can talk about.", "I can't tell you, I have no access to these figures.", "I'm afraid I am unable to answer.", "We cannot provide that.", "I am not permitted to share such information.", "Leider kann ich Ihnen das nicht beantworten.", "Lo siento, no puedo ayudar con esa pregunta.", "Désolé, je ne peux pas vous donner ces données."],
+    "empty": ["N.A.", "<null>", "[no answer]", "TBD.", "   ", "--", "not available.", "(no response)"],
+}
+
+
+@pytest.mark.parametrize("folder", ["/root/testdata/sf0.001", SF])
+def test_held_out_recall_of_each_defect(spark, folder):
+    """Sound pairs that are made to refuse, to stand for nothing or to give back the question, at two sizes."""
+    if not os.path.isdir(folder):
+        pytest.skip("no test data")
+    examples, docs = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("examples", "documents"))
+    rows = pd_.positive_rows(examples).dropDuplicates(["example_id"])
+    known = pd_.example_defects(examples, docs).select("example_id")
+    k = F.pmod(F.xxhash64("example_id"), F.lit(20))
+    pick = lambda kind: F.element_at(F.array(*[F.lit(t) for t in HELD_OUT[kind]]), (F.pmod(F.xxhash64("example_id", F.lit(1)), F.lit(len(HELD_OUT[kind]))) + 1).cast("int"))
+    question = F.expr("regexp_extract(input, '([^.?]{20,}[?])', 1)")
+    sound = rows.join(known, "example_id", "left_anti").withColumn("k", k).withColumn("q", question)
+    broken = sound.withColumn("output", F.when(F.col("k") == 0, pick("refusal")).when(F.col("k") == 1, pick("empty")).when((F.col("k") == 2) & (F.col("q") != "") & F.col("input").contains("Question:"), F.trim("q")).otherwise(F.col("output")))
+    got = pd_.defects(broken.drop("k", "q"), docs, "example_id")
+    told = broken.join(got, "example_id", "left").select("k", (F.col("output") == F.trim("q")).alias("copied"), F.coalesce("defect", F.lit("")).alias("d")).collect()
+    # of eight wordings that no example has, the model misses one that is worded like no other
+    for number, name, bar in ((0, "refusal", 0.85), (1, "empty", 0.9), (2, "copy", 0.9)):
+        of = [r["d"] for r in told if r["k"] == number and (name != "copy" or r["copied"])]
+        assert sum(d == name for d in of) >= bar * len(of), (name, of)
+    rest = [r["d"] for r in told if r["k"] > 2]
+    assert sum(d != "" for d in rest) <= 0.02 * len(rest)
