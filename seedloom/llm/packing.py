@@ -24,7 +24,7 @@ from seedloom.session import cut, input_splits
 #: Items and containers of a block on average, at most.
 BLOCK, BINS = 16_384, 512
 #: A container at least so full is final before the last round.
-GOOD = 0.995
+GOOD = 0.999
 #: A round that leaves more than this share of its tokens open is the last.
 GAIN = 0.9
 
